@@ -61,23 +61,30 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def hash_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """About ``limit`` rows of ``df`` (all, if it has no more; at most twice as many), chosen by a hash of ``key``.
+
+    The hash threshold comes from the exact row count, so every task sends a share of the sample and no more.
+    """
+    n = df.count()
+    share = min(1.0, 1.2 * limit / max(n, 1))
+    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))).limit(2 * limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> list:
-    """At most ``limit`` rows (text, label) of labelled documents, chosen by a hash of the id.
+    """About ``limit`` rows (doc_id, text, y) of labelled documents, at most twice as many, in order of the id.
 
-    ``usable`` says over ``doc_id`` which rows may be learnt from. Only the chosen ids, ``limit`` at most, are broadcast
-    to the scan of ``docs``; rows with a null label or id are not used.
+    ``usable`` says over ``doc_id`` which rows may be learnt from; rows with a null label, id or text are not used, and
+    an id with several labels has the largest. Only the chosen ids, 2 x ``limit`` at most, are broadcast to the scan.
     """
-    chosen = (
+    known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
-    got = rows.select("doc_id", "text", "y").collect()
-    return sorted(got, key=lambda r: (r.doc_id, r.text))
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(hash_sample(known, limit)), "doc_id")
+    return sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -108,7 +108,7 @@ def _forest(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np
     """Edges to the smallest fingerprint of each component among the links of homes with all others."""
     label = np.arange(len(fp))
     h = np.flatnonzero(home)
-    links_a, links_b = [], []
+    links_a, links_b = [h[:0]], [h[:0]]
     for at in range(0, len(h), 256):
         a, b = np.nonzero(np.bitwise_count(fp[h[at : at + 256], None] ^ fp[None, :]) <= bits)
         links_a.append(h[at + a])
