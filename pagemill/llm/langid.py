@@ -101,3 +101,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+
+
+def keep(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array([not scorer.predict(text, margin)[2] for text in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

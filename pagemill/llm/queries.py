@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, langid, simhash
+from pagemill.llm import decontam, langid, pii, simhash, spviterbi
 from pagemill.llm.common import held_out, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit_on(docs))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 5, 0)
@@ -28,10 +33,16 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spviterbi.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_ids", "ids_crc32", "decoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_language": op4_language,
     "op6_simhash": op6_simhash,
     "op8_contamination": op8_contamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNK_PENALTY = 10.0
 #: Stretches remembered by a process; beyond it they are forgotten and the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def default_model() -> str:
@@ -136,39 +136,152 @@ def stream(chunks: Iterable[str], v: Vocabulary) -> Iterator[list[int]]:
         yield trace(len(text))
 
 
+class Together:
+    """The same search over many short stretches at once: one start of the window for all of them, then the next.
+
+    The pieces are a trie whose edges (node, character) are in a hash table; edges that share a slot are in a second,
+    sorted one. From each start all stretches walk down together, and those without a further edge drop out.
+    """
+
+    SLOTS = 20
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        edges: dict[int, int] = {}
+        ids, scores = [-1], [0.0]
+        for name, (i, score) in v.pieces.items():
+            node = 0
+            for c in name:
+                key = node << 21 | ord(c)
+                if key not in edges:
+                    edges[key] = len(ids)
+                    ids.append(-1)
+                    scores.append(0.0)
+                node = edges[key]
+            ids[node], scores[node] = i, score
+        self.ids, self.scores = np.array(ids, np.int32), np.array(scores)
+        keys, to = np.array(list(edges), np.uint64), np.array(list(edges.values()), np.int64)
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.slot_key = np.full(1 << self.SLOTS, ~np.uint64(0))
+        self.slot_to = np.zeros(1 << self.SLOTS, np.int64)
+        self.slot_key[slot[first]], self.slot_to[slot[first]] = keys[first], to[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.rest_key, self.rest_to = np.append(keys[rest], ~np.uint64(0)), np.append(to[rest], 0)
+        self.crowded = np.zeros(1 << self.SLOTS, bool)
+        self.crowded[slot[rest]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _down(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes below, 0 where there is none."""
+        key = (node.astype(np.uint64) << np.uint64(21)) | char
+        slot = self._slot(key)
+        to = np.where(self.slot_key[slot] == key, self.slot_to[slot], 0)
+        odd = np.flatnonzero((to == 0) & self.crowded[slot])
+        if len(odd):
+            at = np.searchsorted(self.rest_key, key[odd])
+            to[odd] = np.where(self.rest_key[at] == key[odd], self.rest_to[at], 0)
+        return to
+
+    def ids_of(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each of ``stretches``, which are alike in length; ties as in :func:`stream`."""
+        m, size = len(stretches), max(map(len, stretches))
+        length = np.fromiter(map(len, stretches), np.int64, m)
+        flat = "".join(s.ljust(size, "\x00") for s in stretches).encode("utf-32-le", "surrogatepass")
+        chars = np.ascontiguousarray(np.frombuffer(flat, "<u4").reshape(m, size).T).astype(np.uint64)
+        best = np.full((size + 1, m), -np.inf)
+        best[0] = 0
+        back, piece = np.zeros((size + 1, m), np.int32), np.full((size + 1, m), -1, np.int32)
+        every = np.arange(m)
+        for i in range(size):
+            rows, node = every[length > i], None
+            for n in range(1, min(self.v.longest, size - i) + 1):
+                to = self._down(np.zeros(len(rows), np.int64) if node is None else node, chars[i + n - 1][rows])
+                ends = np.flatnonzero((to > 0) & (self.ids[to] >= 0))
+                if n == 1:
+                    other = np.ones(m, bool)
+                    other[rows[ends]] = False
+                r, t = rows[ends], to[ends]
+                total = best[i][r] + self.scores[t]
+                up = total > best[i + n][r]
+                r, t = r[up], t[up]
+                best[i + n][r], back[i + n][r], piece[i + n][r] = total[up], i, self.ids[t]
+                live = to > 0
+                rows, node = rows[live], to[live]
+                if not len(rows):
+                    break
+            r = np.flatnonzero(other & (length > i))
+            r = r[best[i][r] + self.v.unk_score > best[i + 1][r]]
+            best[i + 1][r], back[i + 1][r], piece[i + 1][r] = best[i][r] + self.v.unk_score, i, -1
+        end, took, odd = length.copy(), [], np.zeros(m, bool)
+        while end.any():
+            p = piece[end, every]
+            odd |= (end > 0) & (p < 0)
+            took.append(np.where(end > 0, p, -1))
+            end = np.where(end > 0, back[end, every], 0)
+        table = np.array(took[::-1], np.int32).T
+        kept = (table >= 0).sum(1)
+        flat_ids, width = table.astype("<u2").tobytes(), 2 * table.shape[1]
+        out = [flat_ids[width * (i + 1) - 2 * k : width * (i + 1)] for i, k in enumerate(kept.tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array([x for part in stream([stretches[i]], self.v) for x in part], "<u2").tobytes()
+        return out
+
+
 class Encoder:
-    """Encodes and decodes whole texts; remembers the ids of stretches between certain boundaries."""
+    """Encodes and decodes whole texts; remembers the ids of short stretches between certain boundaries."""
+
+    SHORT = 48
 
     def __init__(self, model_file: str):
         self.v = vocabulary(model_file)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.cuts = re.compile(f"(?<=[^{MARK}])(?={MARK})" + ("|(?<=\n)|(?=\n)" if self.v.cut_at_newlines else ""))
+        self.together = Together(self.v)
 
-    def _ids(self, stretch: str) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = np.array([i for part in stream([stretch], self.v) for i in part], "<u2").tobytes()
-        if len(stretch) <= 64:
-            self.known[stretch] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 16-bit integers; null and empty texts have none."""
-        if not text:
-            return b""
+    def _parts(self, text: str) -> list[str]:
         marked = MARK + text.replace(" ", MARK)
         if not self.v.cut_at_marks:
-            parts = [marked]
-        elif MARK + MARK in marked or "\x00" in marked:
-            parts = self.cuts.split(marked)
-        else:  # the same cuts, without look-around
-            parts = (marked.replace("\n", "\x00\n\x00") if self.v.cut_at_newlines else marked).replace(MARK, "\x00" + MARK).split("\x00")
-        known, out = self.known, []
-        for p in parts:
-            if (ids := known.get(p)) is None and p:
-                ids = self._ids(p)
-            out.append(ids or b"")
-        return b"".join(out)
+            return [marked]
+        if MARK + MARK in marked or "\x00" in marked:
+            return self.cuts.split(marked)
+        # the same cuts, without look-around
+        return (marked.replace("\n", "\x00\n\x00") if self.v.cut_at_newlines else marked).replace(MARK, "\x00" + MARK).split("\x00")
+
+    def _learn(self, new: set[str]) -> None:
+        short = sorted((p for p in new if len(p) <= self.SHORT), key=lambda p: (len(p), p))
+        for at in range(0, len(short), 8192):
+            cut = short[at : at + 8192]
+            self.known.update(zip(cut, self.together.ids_of(cut), strict=True))
+        for p in new:
+            if len(p) > self.SHORT:
+                self.known[p] = np.array([i for part in stream([p], self.v) for i in part], "<u2").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit integers; null and empty texts have none."""
+        out: list[bytes] = []
+        parts: list[list[str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            parts.append(self._parts(text) if text else [])
+            size += len(text or "")
+            if size >= 1_000_000 or i == len(texts) - 1:
+                if len(self.known) > REMEMBERED:
+                    self.known = {"": b""}
+                new = {p for words in parts for p in words}.difference(self.known)
+                self._learn(new)
+                out += [b"".join(map(self.known.__getitem__, words)) for words in parts]
+                for p in new:
+                    if len(p) > self.SHORT:
+                        del self.known[p]
+                parts, size = [], 0
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of ``ids``: marks are spaces again, without the one that encoding put in front."""
@@ -198,7 +311,7 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
         enc = encoder(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            coded = [enc.encode(t) for t in texts]
+            coded = enc.encode_all(texts)
             sizes = np.array([len(c) // 2 for c in coded], np.int64)
             wide = [np.frombuffer(c, "<u2").astype("<u4") for c in coded]
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate([np.empty(0, "<u4"), *wide]).astype(np.int32)))
