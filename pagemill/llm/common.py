@@ -72,7 +72,7 @@ def hash_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit: int) -> list:
-    """About ``limit`` rows (doc_id, text, y) of labelled documents, at most twice as many, in order of the id.
+    """About ``limit`` rows (doc_id, text, lang, y) of labelled documents, at most twice as many, in order of the id.
 
     ``usable`` says over ``doc_id`` which rows may be learnt from; rows with a null label, id or text are not used, and
     an id with several labels has the largest. Only the chosen ids, 2 x ``limit`` at most, are broadcast to the scan.
@@ -83,7 +83,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
     )
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(hash_sample(known, limit)), "doc_id")
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull()).join(F.broadcast(hash_sample(known, limit)), "doc_id")
     return sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, langid, pii, simhash, spviterbi
+from pagemill.llm import decontam, langid, pii, rules, simhash, spviterbi, toxicity
 from pagemill.llm.common import held_out, table
 
 
@@ -16,6 +16,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.fit_on(docs))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    found = toxicity.score(docs, net)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), toxicity.flagged(F.col("lang"), F.col("score"), net.thresholds).alias("flagged"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 5, 0)
@@ -28,6 +36,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    found = rules.score(docs, rules.fit(docs, table(spark, sf_dir, "labels"), ~out))
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
@@ -39,8 +54,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_contamination": op8_contamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
