@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, langid, pii, rules, simhash, spviterbi, toxicity
-from pagemill.llm.common import held_out, table
+from pagemill.llm import decontam, langid, pii, rules, simhash, spviterbi, toxicity, wrapper
+from pagemill.llm.common import held_out, saved, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return wrapper.main_text(pages, saved(wrapper.wrappers(pages)))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spviterbi.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_ids", "ids_crc32", "decoded")
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_contamination": op8_contamination,
+    "op9_main_text": op9_main_text,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
