@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, langid, pii, rules, simhash, spviterbi, toxicity, wrapper
+from pagemill.llm import cws, decontam, langid, pii, rules, simhash, spviterbi, toxicity, wrapper
 from pagemill.llm.common import held_out, saved, table
 
 
@@ -31,6 +31,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.with_likeness(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op4_language": op4_language,
+    "op5_fingerprints": op5_fingerprints,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_contamination": op8_contamination,
