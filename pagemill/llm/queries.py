@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import cws, decontam, langid, pii, rules, simhash, spviterbi, toxicity, wrapper
+from pagemill.llm import cws, decontam, langid, pii, rules, simhash, spviterbi, tokenstore, toxicity, wrapper
 from pagemill.llm.common import held_out, saved, table
 
 
@@ -24,6 +24,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), toxicity.flagged(F.col("lang"), F.col("score"), net.thresholds).alias("flagged"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 5, 0)
@@ -64,6 +68,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
+    "op3_token_store": op3_token_store,
     "op4_language": op4_language,
     "op5_fingerprints": op5_fingerprints,
     "op6_simhash": op6_simhash,
