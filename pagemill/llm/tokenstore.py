@@ -30,7 +30,7 @@ from pagemill.llm.common import drop_path, saved, scratch
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 WIDTH, END_ID = 2, 0
 #: Words remembered by a process; beyond it they are forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 
 
 def default_tokenizer() -> str:
@@ -43,10 +43,17 @@ class Encoder:
     """The tokenizer with a memory of words.
 
     The pre-tokenizer always splits before a single space or newline between other characters, so words between them are
-    encoded on their own and remembered. A text with any other white space is encoded whole.
+    encoded on their own and remembered. It also splits between a letter or digit and the comma or full stop after it,
+    so those are cut off too, unless the text has one after something else. A text with any other white space is encoded
+    whole.
     """
 
-    ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|\x00|<\|")
+    STOPS = re.compile(r"[\W_][.,]")
+
+    #: a comma or full stop after something that is neither letter nor digit
+    STOPS = re.compile(r"[.,](?<=[\W_].)")
+    #: what keeps a text from being cut: white space in a row, other white space, the memory's mark, special tokens
+    ODD = ("  ", "\n\n", " \n", "\n ", "\x00", "<|", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
     def __init__(self, path: str):
         import os
@@ -59,25 +66,46 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 8 * WIDTH:
             raise ValueError("ids do not fit the store's width")
         self.known: dict[str, bytes] = {}
+        self.newline: np.uint16 | None = None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{WIDTH}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Words are encoded many at once, one a line: a newline between other characters is a token of its own."""
+        if "\n" in new or self.newline is None:
+            self.newline = np.frombuffer(self._ids(["\n"])[0], f"<u{WIDTH}")[0]
+            self.known["\n"] = self.newline.tobytes()
+            new.discard("\n")
+        todo = list(new)
+        for at in range(0, len(todo), 4096):
+            cut = todo[at : at + 4096]
+            ids = np.frombuffer(self._ids(["\n".join(w[1:] if w[0] == "\x00" else " " + w for w in cut)])[0], f"<u{WIDTH}")
+            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            if len(ends) != len(cut):
+                raise ValueError("the tokenizer does not split at newlines")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(cut, ends, strict=True):
+                self.known[w] = raw[WIDTH * start : WIDTH * end]
+                start = end + 1
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         at, size, words = [], 0, []
         for i, text in enumerate(texts):
-            if text and self.ODD.search(text):
+            if text and (text[0] in " \n" or text[-1] in " \n" or any(c in text for c in self.ODD)):
                 out[i] = self._ids([text])[0]
             elif text:
                 at.append(i)
-                words.append(("\x00" + text.replace("\n", " \n \x00")).split(" "))
+                line = "\x00" + text.replace("\n", " \n \x00")
+                if not self.STOPS.search(text):
+                    line = line.replace(", ", " \x00, ").replace(". ", " \x00. ")
+                words.append(line.split(" "))
                 size += len(text)
             if words and (size >= 1_000_000 or i == len(texts) - 1):
                 if len(self.known) > REMEMBERED:
                     self.known = {}
-                new = list({w for ws in words for w in ws}.difference(self.known))
-                self.known.update(zip(new, self._ids([w[1:] if w[0] == "\x00" else w if w == "\n" else " " + w for w in new]), strict=True))
+                self._learn({w for ws in words for w in ws}.difference(self.known))
                 for j, ws in zip(at, words, strict=True):
                     out[j] = b"".join(map(self.known.__getitem__, ws))
                 at, size, words = [], 0, []
