@@ -73,10 +73,10 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Words are encoded many at once, one a line: a newline between other characters is a token of its own."""
-        if "\n" in new or self.newline is None:
+        if self.newline is None or "\n" not in self.known:
             self.newline = np.frombuffer(self._ids(["\n"])[0], f"<u{WIDTH}")[0]
-            self.known["\n"] = self.newline.tobytes()
-            new.discard("\n")
+            self.known |= {"\n": self.newline.tobytes(), "\x00": b""}
+        new -= {"\n", "\x00"}
         todo = list(new)
         for at in range(0, len(todo), 4096):
             cut = todo[at : at + 4096]
