@@ -138,6 +138,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Ensemble:
         z += SHRINK * value
         found.update(dict.fromkeys(rules))
     rules = list(found)
+    if not rules:
+        return Ensemble(base, [], [])
     r = np.stack([_holds(rule, x) for rule in rules], 1).astype(np.float32)
     _, first = np.unique(r, axis=1, return_index=True)  # rules that hold for the same rows count once
     first = np.sort(first)

@@ -58,7 +58,8 @@ class Net:
         return cls(emb, rng.normal(0, 0.3, (DIM, _COLS)).astype(np.float32), np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.3, len(WIDTHS) * FILTERS), np.full(1, -1.0))
 
     def rows(self, feats: np.ndarray) -> np.ndarray:
-        return self.emb[feats].sum(1) @ self.conv
+        # not by matrix product, whose last digits depend on how many words are asked for at once
+        return np.einsum("nd,dc->nc", self.emb[feats].sum(1), self.conv)
 
     def pool(self, table: np.ndarray, ids: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Maxima of all filters over a text given as rows of ``table``, and their places; short texts are padded."""
@@ -81,7 +82,7 @@ class Net:
 
     def score(self, pooled: np.ndarray) -> np.ndarray:
         h = np.maximum(pooled + self.bias, 0)
-        return 1 / (1 + np.exp(-np.clip(h @ self.out + self.out_bias, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip((h * self.out).sum(-1) + self.out_bias, -40, 40)))
 
 
 def train(texts: list[str], y: list[int], epochs: int = EPOCHS, seed: int = 7) -> Net:
