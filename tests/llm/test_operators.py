@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill.llm import cws, decontam, pii, queries, rules, simhash, spviterbi, tokenstore, toxicity
+from pagemill.llm import cws, decontam, pii, queries, rules, simhash, similar, spviterbi, tokenstore, toxicity
 from pagemill.llm.common import connected_components, table
 
 D = "/root/testdata/sf0.001"
@@ -251,6 +251,22 @@ def test_each_near_pair_meets_at_a_home():
     assert all(homes[n] & all_[n] for n in range(300))
 
 
+@pytest.mark.parametrize("crowd", [3, 700])
+def test_similar_groups(spark, crowd):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(500)]
+    base = list(rng.choice(words, 300))
+    rows = []
+    for i in range(crowd):
+        w = list(base)
+        for k in rng.integers(0, 300, 3):
+            w[k] = str(rng.choice(words))
+        rows.append((i, " ".join(w)))
+    rows += [(10_000 + i, " ".join(rng.choice(words, 300))) for i in range(30)] + [(20_000, None), (20_001, ""), (None, "x")]
+    got = {r.doc_id: r.component_id for r in similar.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {got[i] for i in range(crowd)} == {0} and all(got[10_000 + i] == 10_000 + i for i in range(30)) and got[20_001] == 20_000 and None not in got
+
+
 # decontamination
 
 
@@ -327,8 +343,12 @@ def test_pipeline_is_its_stages(spark, docs):
         rows = {r.doc_id: r for r in d.collect()}
         before = {r["doc_id"]: r for r in kept}
         if name == "near_dedup":
-            groups = components_of({i: plain_print(r["text"], 5) for i, r in before.items()})
-            assert set(rows) == set(groups.values())
+            sets = {i: set(similar.shingles(r["text"]).tolist()) for i, r in before.items()}
+            alike = {i: [j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+            gone = set(before) - set(rows)
+            assert gone and all(alike[i] for i in gone)  # clean documents stay
+            assert all(min(alike[i], default=i) > i or i in gone for i in sets if any(before[j]["text"] == before[i]["text"] for j in alike[i]))
+            assert len(gone) >= 0.9 * sum(min(alike[i], default=i) < i for i in sets)
         if name == "personal_data":
             assert set(rows) == set(before) and all(not plain_spans(r.text) and r.n_chars == len(r.text) for r in rows.values())
         else:
