@@ -39,3 +39,13 @@ def test_crowded_pairs_hold_all_alike(spark):
     assert alike and alike <= got
     one = spark.createDataFrame(rows, "rep bigint, comp bigint, text string").withColumn("comp", F.lit(0))
     assert similar.crowded_pairs(one).isEmpty()
+
+
+def test_prints_do_not_count_repeats(spark):
+    rng = np.random.default_rng(13)
+    single = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(200))
+    line = "all rights reserved by the owner of this page"
+    rows = [(i, f"{single} {' '.join([line] * n)}") for i, n in enumerate((100, 3))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len({tuple(r)[1:] for r in similar.prints(frame).collect()}) == 1
+    assert {r.component_id for r in similar.groups(frame).collect()} == {0}
