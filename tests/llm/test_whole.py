@@ -49,3 +49,12 @@ def test_prints_do_not_count_repeats(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert len({tuple(r)[1:] for r in similar.prints(frame).collect()}) == 1
     assert {r.component_id for r in similar.groups(frame).collect()} == {0}
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as C
+
+    rows = [(7, "one text of its own"), (7, "quite another one under the id"), (7, "one text of its own"), (None, "no id but a copy"), (None, "no id but a copy"), (None, "one text of its own"), (3, "the last of them here")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((r.doc_id or 0, r.text) for r in C.near_dedup(spark, frame, "").collect())
+    assert got == [(0, "no id but a copy"), (3, "the last of them here"), (7, "one text of its own"), (7, "quite another one under the id")]
