@@ -4,7 +4,7 @@ The index has a row for each segment of some hundred documents: its documents, i
 term, the delta-coded positions of all its occurrences. Positions run through the segment, with a gap between documents
 that no phrase crosses. A search takes the posting lists of a phrase's terms, starts at the rarest one of the segment
 and intersects the others, each moved by its term's offset; what is left are exact phrase matches. Proximity matches
-keep only the rarest terms and let each stray from its place.
+need only the rarest terms, by their counts in all segments, and let each stray from its place.
 
 Segments are independent: building and searching move no postings between tasks, and a hot term or document is spread
 over all segments that hold it.
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +139,11 @@ class Phrases:
         self.groups = [(n, np.array([[rank[c] for c in cut] for cut in cuts], np.int64), [sorted(lists[cut]) for cut in cuts]) for n, cuts in sorted(by_size.items())]
 
 
-def _search(row: dict, phrases: Phrases, slop: int, rare: int) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
-    """Of one segment: hits by document, items by document, proximity matches by document."""
+def _search(row: dict, phrases: Phrases, slop: int, rarest: list[np.ndarray]) -> tuple[np.ndarray, list[set[int]], np.ndarray]:
+    """Of one segment: hits by document, items by document, proximity matches by document.
+
+    ``rarest`` has, for each group of phrases, the places of the terms of each phrase that must be near.
+    """
     sizes = np.array(row["n_words"], np.int64)
     base = np.concatenate(([0], np.cumsum(sizes + WINDOW)))
     n_hit, items, n_near = np.zeros(len(sizes), np.int64), [set() for _ in sizes], np.zeros(len(sizes), np.int64)
@@ -156,7 +160,8 @@ def _search(row: dict, phrases: Phrases, slop: int, rare: int) -> tuple[np.ndarr
     for r, p in posting.items():
         place[p] = r
     hit = np.zeros(len(place), bool)
-    for n, terms, owners in phrases.groups:
+    for (n, terms, owners), few in zip(phrases.groups, rarest, strict=True):
+        _count_near(n_near, terms, few, freq, posting, base, sizes, slop)
         alive = np.flatnonzero((freq[terms] > 0).all(1))
         if not len(alive):
             continue
@@ -165,17 +170,10 @@ def _search(row: dict, phrases: Phrases, slop: int, rare: int) -> tuple[np.ndarr
             phrase = terms[k]
             start = posting[int(phrase[order[0]])] - order[0]
             start = start[start >= 0]
-            near = start
             for j in order[1:]:
                 if not len(start):
                     break
                 start = start[place[start + j] == phrase[j]]
-            if rare and n >= rare and len(near):
-                for j in order[1:rare]:
-                    p = posting[int(phrase[j])] - j
-                    lo, hi = np.searchsorted(p, near - slop), np.searchsorted(p, near + slop, side="right")
-                    near = near[lo < hi]
-                np.add.at(n_near, np.searchsorted(base, near, side="right") - 1, 1)
             if len(start):
                 hit[(start[:, None] + np.arange(n)[None, :]).ravel()] = True
                 for d in np.unique(np.searchsorted(base, start, side="right") - 1).tolist():
@@ -184,19 +182,62 @@ def _search(row: dict, phrases: Phrases, slop: int, rare: int) -> tuple[np.ndarr
     return n_hit, items, n_near
 
 
+def _count_near(n_near: np.ndarray, terms: np.ndarray, few: np.ndarray, freq: np.ndarray, posting: dict[int, np.ndarray], base: np.ndarray, sizes: np.ndarray, slop: int) -> None:
+    """Adds the proximity matches of one group of phrases; all terms of a match are in one document."""
+    if not few.shape[1]:
+        return
+    needed = np.take_along_axis(terms, few, 1)
+    for k in np.flatnonzero((freq[needed] > 0).all(1)).tolist():
+        first, *others = few[k].tolist()
+        near = posting[int(terms[k, first])] - first
+        doc = np.searchsorted(base, near + first, side="right") - 1
+        for j in others:
+            p = posting[int(terms[k, j])] - j
+            lo = np.searchsorted(p, np.maximum(near - slop, base[doc] - j))
+            hi = np.searchsorted(p, np.minimum(near + slop, base[doc] + sizes[doc] - 1 - j), side="right")
+            near, doc = near[lo < hi], doc[lo < hi]
+        np.add.at(n_near, doc, 1)
+
+
+def _counts(index: DataFrame, vocab: list[bytes]) -> np.ndarray:
+    """How often each of ``vocab`` occurs in all segments; every task sends one row a term that it saw."""
+    held = index.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(held.value, pa.binary())
+        total = np.zeros(len(known), np.int64)
+        for b in batches:
+            at = pc.index_in(b.column(0).flatten(), value_set=known)
+            seen = at.is_valid()
+            np.add.at(total, at.filter(seen).to_numpy(zero_copy_only=False), b.column(1).flatten().filter(seen).to_numpy(zero_copy_only=False))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["term", "c"])
+
+    out = np.zeros(len(vocab), np.int64)
+    for term, c in index.select("terms", "counts").mapInArrow(run, "term bigint, c bigint").groupBy("term").agg(F.sum("c")).collect():
+        out[term] = c
+    return out
+
+
+def _rarest(phrases: Phrases, counts: np.ndarray, rare: int) -> list[np.ndarray]:
+    """By group of phrases, the places of the ``rare`` rarest terms of each; none where a phrase has fewer."""
+    return [np.argsort(counts[terms], axis=1, kind="stable")[:, : rare if n >= rare else 0] for n, terms, _ in phrases.groups]
+
+
 def search(index: DataFrame, phrases: Phrases, slop: int = SLOP, rare: int = RARE_TERMS) -> DataFrame:
     """(doc_id, n_words, n_hit, items, n_near) of every indexed row.
 
     n_hit: words inside exact occurrences; items: sorted ids (as strings) of items that occur; n_near: proximity
-    matches, where the ``rare`` rarest terms of a phrase are within ``slop`` words of their places.
+    matches, where the ``rare`` rarest terms of a phrase, of all that is indexed, are within ``slop`` words of their places.
     """
-    held = index.sparkSession.sparkContext.broadcast(phrases)
+    counts = _counts(index, phrases.vocab) if rare and phrases.vocab else np.zeros(len(phrases.vocab), np.int64)
+    held = index.sparkSession.sparkContext.broadcast((phrases, _rarest(phrases, counts, rare)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        known, rarest = held.value
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                n_hit, items, n_near = _search(row, known, slop, rare)
+                n_hit, items, n_near = _search(row, known, slop, rarest)
                 named = [sorted({str(known.items[i]) for i in found}) for found in items]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()), pa.array(n_hit), pa.array(named, pa.list_(pa.string())), pa.array(n_near)],

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import similar
+from pagemill.llm import decontam, similar
 
 
 def test_no_partner_is_lost_in_a_crowd(spark):
@@ -58,3 +58,16 @@ def test_near_dedup_of_repeated_and_null_ids(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted((r.doc_id or 0, r.text) for r in C.near_dedup(spark, frame, "").collect())
     assert got == [(0, "no id but a copy"), (3, "the last of them here"), (7, "one text of its own"), (7, "quite another one under the id")]
+
+
+def test_near_matches_do_not_need_the_replaced_word(spark):
+    common = [f"c{i}" for i in range(10)]
+    window = [*common[:5], "rare1", "rare2", "rare3", *common[5:]]
+    edited = ["other" if w == "c4" else w for w in window]
+    bench = spark.createDataFrame([("a", " ".join(window))], "item_id string, text string")
+    rows = [(1, " ".join(edited)), (2, " ".join(common * 30)), (3, "rare1"), (4, "rare2 rare3"), (5, " ".join(window[5:]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for segment_words in (1, 10**6):  # each document a segment of its own, or all in one
+        found = decontam.search(decontam.build_index(frame, segment_words), decontam.Phrases([("a", " ".join(window))]))
+        assert {r.doc_id: r.n_near for r in found.collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+    assert {r.doc_id: r.n_hit for r in decontam.contamination(frame, bench).collect()} == {i: 0 for i in range(1, 6)}
