@@ -2,9 +2,11 @@
 
 Pages are parsed to trees leniently. A bounded sample of the pages of each host is aligned by simple tree matching,
 the largest mapping that keeps order and tags. Aligned nodes whose text is the same on all pages are template; nodes
-whose text varies are slots. The content root of a host is the deepest node that holds most of the varying text outside
-menus, headers, footers, sidebars, notices, adverts, forms and comments; its path is the wrapper. It is applied to all
-pages of the host; a page it does not fit, or of a host without wrapper, is wrapped by its own tree.
+whose text varies are slots. The content root of a host is the deepest node, an article or main element at most, that
+holds all the varying text outside menus, headers, footers, sidebars, notices, adverts, forms and comments; its path and
+the template texts beside it are the wrapper. It is applied to all pages of the host; where a page has other texts beside
+the root than those of the template, the root is moved up until it holds them. A page it does not fit, or of a host without
+wrapper, is wrapped by its own tree.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Bound of the pages that are aligned for a host; hosts with fewer different pages than LEAST have no wrapper.
 SAMPLE_PAGES, LEAST = 6, 2
-#: Bound of the nodes that two trees are matched over, level by level; deeper levels are matched by their paths.
+#: Children of a node that the largest mapping is sought over; those after them are aligned in order by tag and marks.
 MATCH_CHILDREN = 64
 #: Hosts whose wrappers are broadcast; with more they are joined.
 BROADCAST_HOSTS = 50_000
@@ -168,7 +170,9 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest order-keeping mapping of equal tags, and its pairs."""
     if a.tag != b.tag:
         return 0, []
-    x, y = a.elements()[:MATCH_CHILDREN], b.elements()[:MATCH_CHILDREN]
+    x, y = a.elements(), b.elements()
+    rest = _in_order(x[MATCH_CHILDREN:], y[MATCH_CHILDREN:])
+    x, y = x[:MATCH_CHILDREN], y[:MATCH_CHILDREN]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     below = {}
     for i, p in enumerate(x):
@@ -185,7 +189,19 @@ def tree_match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
         else:
             pairs += below[i - 1, j - 1][1]
             i, j = i - 1, j - 1
-    return 1 + best[len(x)][len(y)], pairs
+    size = 1 + best[len(x)][len(y)]
+    for p, q in rest:
+        got, below_rest = tree_match(p, q)
+        size, pairs = size + got, pairs + below_rest
+    return size, pairs
+
+
+def _in_order(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of the nodes of both lists that have the same number among those of their tag and marks."""
+    held: dict[tuple[str, frozenset[str]], list[Node]] = defaultdict(list)
+    for q in reversed(y):
+        held[q.tag, q.marks].append(q)
+    return [(p, held[p.tag, p.marks].pop()) for p in x if held[p.tag, p.marks]]
 
 
 def step(node: Node, among: list[Node]) -> str:
@@ -195,7 +211,9 @@ def step(node: Node, among: list[Node]) -> str:
 
 
 def induce(pages: list[str | None]) -> list[str]:
-    """The wrapper of pages of one host: the path of the content root; empty if fewer than LEAST different pages."""
+    """The wrapper of pages of one host: the path of the content root, then the marks (``=`` and a hash) of the template
+    texts beside it; empty if fewer than LEAST different pages.
+    """
     trees = [parse(p) for p in dict.fromkeys(pages)]
     if len(trees) < LEAST:
         return []
@@ -218,15 +236,28 @@ def induce(pages: list[str | None]) -> list[str]:
         return varying[id(n)]
 
     total = weigh(first)
-    path, node = [], first
-    while total:
+    path, node, beside = [], first, []
+    while total and node.tag not in ("article", "main"):
         kids = node.elements()
-        down = next((k for k in kids if varying.get(id(k), 0) >= 0.9 * total and k.tag in BLOCK and k.tag not in ("p", "li", "td", "h1")), None)
+        down = next((k for k in kids if varying.get(id(k), 0) == total and k.tag in BLOCK and k.tag not in ("p", "li", "td", "h1")), None)
         if down is None:
             break
         path.append(step(down, kids))
+        beside += _beside(node, down)
         node = down
-    return path
+    return path + sorted({_mark(t) for t in beside}) if path else []
+
+
+def _beside(node: Node, down: Node | None) -> list[str]:
+    """The texts at ``node`` and below it, without those of boilerplate and of its child ``down``."""
+    own = _own(node)
+    return ([own] if own.strip() else []) + [t for k in node.elements() if k is not down and not k.boilerplate for t in _beside(k, None)]
+
+
+def _mark(text: str) -> str:
+    import xxhash
+
+    return f"={xxhash.xxh3_64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
 
 
 def _own(node: Node) -> str:
@@ -234,7 +265,10 @@ def _own(node: Node) -> str:
 
 
 def extract(html: str | None, path: list[str] | None) -> str:
-    """The main text of a page by the wrapper ``path``; null and empty pages have none."""
+    """The main text of a page by the wrapper ``path``; null and empty pages have none.
+
+    The root is the deepest node of the path beside and above which all texts are of the template.
+    """
     root = parse(html)
     node = _follow(root, path) if path else None
     if node is None or not _size(node):
@@ -243,14 +277,19 @@ def extract(html: str | None, path: list[str] | None) -> str:
 
 
 def _follow(root: Node, path: list[str]) -> Node | None:
-    node = root
+    known = {name for name in path if name.startswith("=")}
+    node, held = root, None
     for name in path:
+        if name in known:
+            break
         kids = node.elements()
         nxt = next((k for k in kids if k.tag == name.partition(".")[0] and step(k, kids) == name), None)
         if nxt is None:
             return None
+        if held is None and any(_mark(t) not in known for t in _beside(node, nxt)):
+            held = node
         node = nxt
-    return node
+    return held or node
 
 
 def _main(root: Node) -> Node:

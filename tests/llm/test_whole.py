@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, similar
+from pagemill.llm import decontam, similar, wrapper
 
 
 def test_no_partner_is_lost_in_a_crowd(spark):
@@ -71,3 +71,23 @@ def test_near_matches_do_not_need_the_replaced_word(spark):
         found = decontam.search(decontam.build_index(frame, segment_words), decontam.Phrases([("a", " ".join(window))]))
         assert {r.doc_id: r.n_near for r in found.collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
     assert {r.doc_id: r.n_hit for r in decontam.contamination(frame, bench).collect()} == {i: 0 for i in range(1, 6)}
+
+
+def test_title_and_lead_are_in_the_main_text():
+    page = lambda w, rest="": f"<html><body><div>Site name</div><div><article><h1>Title {w}</h1><p>Lead {w}</p><div class=body>{'<p>Long text ' * 40}{w}</div></article></div>{rest}</body></html>"
+    path = wrapper.induce([page(w) for w in ("one", "two", "three")])
+    got = wrapper.extract(page("four"), path).split("\n")
+    assert got[:2] == ["Title four", "Lead four"] and len(got) == 42
+    more = wrapper.extract(page("five", "<div><p>a block that the sampled pages do not have</p></div>"), path)
+    assert "Lead five" in more and "a block that the sampled pages do not have" in more
+
+
+def test_a_page_of_one_table_does_not_set_the_root():
+    pages = [f"<html><body><div id=x><table><tr><td>{w}</td></tr></table></div></body></html>" for w in ("one", "two", "three")]
+    other = "<html><body><div id=x><p>before</p><table><tr><td>cell</td></tr></table><p>after</p></div></body></html>"
+    assert wrapper.extract(other, wrapper.induce(pages)) == "before\ncell\nafter"
+
+
+def test_all_children_are_aligned():
+    page = lambda w: wrapper.parse(f"<body>{'<p>same</p>' * 100}<p>{w}</p></body>")
+    assert wrapper.tree_match(page("a"), page("b"))[0] == 103
