@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search over the pieces and scores of a model file.
 
-The segmentation of a text is the one with the largest sum of piece scores. The search keeps a window of the last
+The segmentation of a text is the one with the largest sum of piece scores. For a model of type BPE, such as the default
+one, that is not the encoding of the library, which merges by rank (figures in the README). The search keeps a window of the last
 ``longest piece`` characters. Once all surviving back-pointer paths of the window pass through one boundary, nothing to
 come can change what lies before it: its ids are committed and the window moves up. Where no piece of the vocabulary
 spans a boundary (before a word mark that follows something else; around characters that no longer piece holds) all
