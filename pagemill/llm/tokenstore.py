@@ -62,7 +62,6 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 8 * WIDTH:
             raise ValueError("ids do not fit the store's width")
         self.known: dict[str, bytes] = {}

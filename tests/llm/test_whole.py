@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, similar, wrapper
+from pagemill.llm import decontam, similar, tokenstore, wrapper
 
 
 def test_no_partner_is_lost_in_a_crowd(spark):
@@ -91,3 +91,12 @@ def test_a_page_of_one_table_does_not_set_the_root():
 def test_all_children_are_aligned():
     page = lambda w: wrapper.parse(f"<body>{'<p>same</p>' * 100}<p>{w}</p></body>")
     assert wrapper.tree_match(page("a"), page("b"))[0] == 103
+
+
+def test_special_tokens_are_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenstore.default_tokenizer()
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "plain words, and more."]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokenstore.Encoder(path).encode_all(texts)] == want
