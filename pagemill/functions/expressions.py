@@ -80,9 +80,9 @@ def limited_move(original: Column, placed: Column, limit: Column) -> Column:
     return original + F.greatest(-limit, F.least(limit, placed - original))
 
 
-def margin_place(canvas_size: Column, content: Column, margin: Column, centred: Column) -> Column:
-    """The first pixel of content on a canvas: after its margin, or centred (halves cut towards zero)."""
-    return F.when(centred, F.call_function("div", canvas_size - content, F.lit(2))).otherwise(margin)
+def margin_place(canvas_size: Column, content: Column, before: Column, after: Column, centred: Column) -> Column:
+    """The first pixel of content on a canvas: after its margin, or centred between both margins (halves cut towards zero)."""
+    return before + F.when(centred, F.call_function("div", canvas_size - before - after - content, F.lit(2))).otherwise(0)
 
 
 # rectangles (structs of left, top, right, bottom, half-open) -------------------------------------------------------------
@@ -129,15 +129,24 @@ def compression(bits: Column, raster: Column) -> Column:
     return F.when(raster == "raw", 1).when((raster == "lzw") | (bits != 1), 5).otherwise(4)
 
 
-def output_path(source: Column, directory: Column, suffix: Column, extension: Column) -> Column:
-    """Folder (given, else the source's) / stem + suffix + extension (given, with a dot; else the source's; else .tif)."""
+def output_path(source: Column, directory: Column, suffix: Column, extension: Column, tiff: Column | None = None) -> Column:
+    """Folder (given, else the source's) / stem + suffix + extension: the given one, with a dot; else .tif if ``tiff`` holds,
+    as it does by default; else the source's; else .tif.
+    """
     name = F.regexp_extract(source, r"([^/]*)$", 1)
     stem, own = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
-    ext = F.when(F.coalesce(extension, F.lit("")) != "", F.concat(F.when(extension.startswith("."), "").otherwise("."), extension)).when(own != "", own).otherwise(".tif")
+    ext = F.when(F.coalesce(extension, F.lit("")) != "", F.concat(F.when(extension.startswith("."), "").otherwise("."), extension)).when(F.lit(True) if tiff is None else tiff, ".tif").when(own != "", own).otherwise(".tif")
     folder = F.when(F.coalesce(directory, F.lit("")) != "", directory).otherwise(F.regexp_extract(source, r"^(.*)/[^/]*$", 1))
     return F.concat(folder, F.lit("/"), stem, F.coalesce(suffix, F.lit("")), ext)
 
 
+def file_filter(path: Column, kind: str) -> Column:
+    """Whether a file is shown: ``pages`` (TIFF and BMP), ``tiff``, ``bmp``, or any other word for all files."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    shown = {"pages": ("tif", "tiff", "bmp"), "tiff": ("tif", "tiff"), "bmp": ("bmp",)}
+    return ext.isin(*shown[kind]) if kind in shown else F.lit(True)
+
+
 def decoder_of(path: Column) -> Column:
     """Which decoder a file goes to by its extension; ``probe`` tries TIFF, then BMP."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))

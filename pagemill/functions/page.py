@@ -117,7 +117,7 @@ def convert(p: Page, to: int, threshold: int = 128) -> Page:
         px = np.where(px > 0, 0, 255).astype(np.uint8)
     if px.ndim == 3 and to in (BW1, GRAY8):
         c = px.astype(np.uint32)
-        px = ((77 * c[..., 0] + 150 * c[..., 1] + 29 * c[..., 2]) >> 8).astype(np.uint8)
+        px = ((77 * c[..., 0] + 150 * c[..., 1] + 29 * c[..., 2] + 128) >> 8).astype(np.uint8)
     if to == BW1:
         px = (px < threshold).astype(np.uint8)
     elif to in (RGB24, RGBA32):

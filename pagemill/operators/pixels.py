@@ -30,7 +30,7 @@ def dense(pixels: DataFrame, width: int, height: int, missing: int = 255) -> Dat
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
-    return F.shiftright(77 * r + 150 * g + 29 * b, 8)
+    return F.shiftright(77 * r + 150 * g + 29 * b + 128, 8)
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:

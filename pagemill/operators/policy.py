@@ -26,7 +26,7 @@ class PolicyError(ValueError):
 
 @dataclass
 class Policy:
-    """Windows (seconds, priority) in file order; whether each part was stated at all matters when layers merge."""
+    """Windows (seconds, priority) in file order; whether overdue and escalation were stated matters when layers merge."""
 
     windows: list[tuple[int, int]] = field(default_factory=list)
     overdue: int | None = None
@@ -34,9 +34,9 @@ class Policy:
     stated: frozenset[str] = frozenset()
 
     def over(self, below: "Policy") -> "Policy":
-        """This layer over another: each part that it states replaces the other's."""
+        """This layer over another: its windows come after the other's, its overdue and escalation values replace them if stated."""
         pick = lambda part: self if part in self.stated else below
-        return Policy(pick("windows").windows, pick("overdue").overdue, pick("escalate").escalate_overdue, self.stated | below.stated)
+        return Policy(below.windows + self.windows, pick("overdue").overdue, pick("escalate").escalate_overdue, self.stated | below.stated)
 
 
 def _int(text: str, line: int, low: int = -(2**31)) -> int:
@@ -137,13 +137,23 @@ def escalate(jobs: DataFrame, policy: Policy, now: Column) -> DataFrame:
 
 
 def escalate_by_table(jobs: DataFrame, windows: DataFrame, now: Column, overdue: int) -> DataFrame:
-    """(id, target) by a table of windows (within_seconds, priority): its rows become one array literal of the plan.
+    """(id, target) by a table of windows (within_seconds, priority) of any length.
 
-    A policy is a few lines of text; more than 1,000 windows are refused, so what travels with the plan is bounded.
+    A policy is configuration, written by people: its rows become one sorted array of the plan, in which every job finds its
+    window by binary search.
     """
-    rows = windows.select("within_seconds", "priority").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("a policy of more than 1000 windows")
-    policy = Policy([(r.within_seconds, r.priority) for r in rows], overdue)
-    to = target_priority(policy, remaining_seconds(F.col("due_at"), now))
-    return jobs.filter(outstanding() & F.col("due_at").isNotNull()).select("id", to.alias("target")).filter("target is not null")
+    least = windows.groupBy("within_seconds").agg(F.max("priority").alias("priority"))
+    rows = sorted((r.within_seconds, r.priority) for r in least.collect())
+    left = remaining_seconds(F.col("due_at"), now)
+    to = F.when(left <= 0, F.lit(overdue))
+    if rows:
+        to = to.otherwise(F.get(F.lit([p for _, p in rows]).cast("array<int>"), _first_at_least(left, [w for w, _ in rows])))
+    return jobs.filter(outstanding() & F.col("due_at").isNotNull()).select("id", to.cast("int").alias("target")).filter("target is not null")
+
+
+def _first_at_least(value: Column, ascending: list[int]) -> Column:
+    """The index of the first of ``ascending`` that is not below ``value``; their number if there is none."""
+    size = 1 << len(ascending).bit_length()
+    held = F.lit([*ascending, *[2**63 - 1] * (size - len(ascending))]).cast("array<bigint>")
+    steps = F.lit([size >> i for i in range(1, size.bit_length())]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) < value, at + s).otherwise(at))

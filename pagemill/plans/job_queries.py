@@ -11,6 +11,7 @@ from pagemill.functions import expressions as X
 from pagemill.operators import job_json, jobs as J, policy as P
 from pagemill.plans import handlers
 from pagemill.schema import JOB_STATES
+from pagemill.sources import job_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -219,11 +220,50 @@ def escalate_policy_table(spark, d):
 
 @query("policy_layer_merge", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(7200 AS BIGINT), 40), (1, 1800, 80), (2, 0, 120)) AS t(item, within_seconds, priority)")
 def policy_layer_merge(spark, d):
-    merged = P.layered([P.parse("within=120 priority=40\noverdue=90"), P.parse("no-overdue-escalation"), P.parse("within=120 priority=40\nwithin=30 priority=80\nescalate-overdue=true"), P.parse("overdue=120")])
+    merged = P.layered([P.parse("within=120 priority=40\noverdue=90"), P.parse("no-overdue-escalation"), P.parse("within=30 priority=80\nescalate-overdue=true"), P.parse("overdue=120")])
     rows = [(i, w, p) for i, (w, p) in enumerate(merged.windows)] + [(len(merged.windows), 0, merged.overdue)]
     return spark.createDataFrame(rows, "item bigint, within_seconds bigint, priority int")
 
 
+@query("jobs_from_tables", _with(f"SELECT {_FLAT_SQL} FROM jobs WHERE state = 'submitted'"))
+def jobs_from_tables(spark, d):
+    """Jobs put apart into the tables of a database and together again."""
+    parts = job_tables.to_tables(jobs_of(spark, d))
+    return flat(J.in_state(job_tables.from_tables(parts["jobs"], parts["attachments"], parts["tags"]), "submitted"))
+
+
+@query("jobs_created_order", _with("SELECT id, row_number() OVER (ORDER BY created_at ASC, id ASC) AS position FROM jobs"))
+def jobs_created_order(spark, d):
+    order = [F.col("created_at").asc(), F.col("id").asc()]
+    return J.numbered(jobs_of(spark, d, children=False).select("id", "created_at"), order, "position").select("id", "position")
+
+
+@query("fetch_job", _with(f"SELECT {_FLAT_SQL} FROM jobs WHERE id = 'job-7'"))
+def fetch_job(spark, d):
+    return flat(J.fetch(jobs_of(spark, d), "job-7"))
+
+
+@query("job_json_arrays", _with(f"SELECT {_FLAT_SQL} FROM jobs WHERE correlation_id = 'batch-2'"))
+def job_json_arrays(spark, d):
+    """Arrays of two records each, a job and its copy, of which one is kept."""
+    one = F.col("json")
+    arrays = job_json.with_json(J.with_tags(jobs_of(spark, d), [], None, "batch-2")).select(F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]")).alias("value"))
+    return flat(job_json.from_json_array(arrays).dropDuplicates(["id"]))
+
+
+@query("create_jobs", _with(f"SELECT 'submitted' AS state, source_path, priority, due_at, correlation_id, CAST(0 AS BIGINT) AS attempt_count, {_NOW} AS created_at, {_NOW} AS updated_at, 32 AS id_length, CAST(NULL AS VARCHAR) AS error_message FROM jobs"))
+def create_jobs(spark, d):
+    made = J.create(jobs_of(spark, d).drop("id"), now())
+    return made.select("state", "source_path", "priority", "due_at", "correlation_id", "attempt_count", "created_at", "updated_at", F.length("id").alias("id_length"), "error_message")
+
+
+@query("events_of_changes", _with("SELECT id AS job_id, 'submitted' AS state, 'to the queue' AS message FROM jobs WHERE state = 'exception'"))
+def events_of_changes(spark, d):
+    """The events that a store sends when failed jobs go back to the queue."""
+    jobs = jobs_of(spark, d)
+    return J.events_between(jobs, J.retry(jobs, F.col("state") == "exception", now()), "to the queue")
+
+
 _NEW = "SELECT * REPLACE (42 AS priority, 'rendering' AS state) FROM jobs WHERE id LIKE '%7'"
 
 

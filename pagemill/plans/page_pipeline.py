@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -48,6 +49,8 @@ def rotate(s: State) -> tuple[bool, str]:
 
 def color_dropout(s: State) -> tuple[bool, str]:
     c = s.profile["color_dropout"]
+    if not c["enabled"] or c["color"] == "none":
+        return False, "disabled"
     s.page = P.color_dropout(s.page, c["color"], c["threshold"])
     return True, f"dropped {c['color']}"
 
@@ -163,7 +166,13 @@ def plan(profile: dict) -> list[tuple[str, Step, Callable[[State], bool]]]:
     ]
 
 
-SINGLE = {f.__name__: f for f in (rotate, color_dropout, edge_cleanup, hole_cleanup, despeckle, deskew, blank_page, detect_subimage, margins, resize)}
+def resize_alone(s: State) -> tuple[bool, str]:
+    """The step on its own looks at whether resizing is enabled, and says less."""
+    done = s.profile["resize"]["enabled"] and resize(s)[0]
+    return done, "resized" if done else "no resize applied"
+
+
+SINGLE = {f.__name__: f for f in (rotate, color_dropout, edge_cleanup, hole_cleanup, despeckle, deskew, blank_page, detect_subimage, margins)} | {"resize": resize_alone}
 
 
 def run_page(page: Page, profile: dict, index: int = 0, only: str | None = None) -> tuple[State, str]:
@@ -187,26 +196,31 @@ def run_page(page: Page, profile: dict, index: int = 0, only: str | None = None)
 RESULT = (
     "image_id bigint, page_index int, success boolean, error string, is_blank boolean, left int, top int, right int, bottom int, canvas_width int, canvas_height int, "
     "foreground_percent double, component_count int, total_pixels bigint, foreground_pixels bigint, steps array<struct<name: string, applied: boolean, detail: string>>, "
-    "width int, height int, format int, dpi_x double, dpi_y double, data binary"
+    "width int, height int, format int, dpi_x double, dpi_y double, data binary, elapsed_ms double"
 )
 
 
-def run_pages(pages: DataFrame, profile: dict, only: str | None = None) -> DataFrame:
-    """Results of ``pages`` (schema PAGE), one row a page, in one pass; the profile travels with the plan."""
+def run_pages(pages: DataFrame, profile: dict, only: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Results of ``pages`` (schema PAGE), one row a page, in one pass; the profile travels with the plan.
+
+    The text columns ``keep`` of ``pages`` come along.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 32):  # pages are large, so few results are held at once
                 rows = []
                 for r in pdf.iloc[at : at + 32].itertuples(index=False):
+                    began = time.perf_counter()
                     page = Page.from_bytes(r.data or b"", r.width, r.height, r.format, r.dpi_x, r.dpi_y)
                     s, error = run_page(page, profile, int(r.page_index), only)
                     box, b, q = s.box or (0, 0, 0, 0), s.blank, s.page
                     log = [{"name": n, "applied": a, "detail": d} for n, a, d in s.log]
-                    rows.append((r.image_id, r.page_index, not error, error, b.is_blank, *box, *s.canvas, b.percent, b.parts, b.total, b.ink, log, q.width, q.height, q.format, q.dpi_x, q.dpi_y, q.to_bytes()))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _columns()])
+                    rows.append((r.image_id, r.page_index, not error, error, b.is_blank, *box, *s.canvas, b.percent, b.parts, b.total, b.ink, log, q.width, q.height, q.format, q.dpi_x, q.dpi_y, q.to_bytes(), 1000 * (time.perf_counter() - began), *(getattr(r, c) for c in keep)))
+                yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in _columns()), *keep])
 
-    return pages.select("image_id", "page_index", "width", "height", "format", "dpi_x", "dpi_y", "data").mapInPandas(run, RESULT)
+    schema = RESULT + "".join(f", {c} string" for c in keep)
+    return pages.select("image_id", "page_index", "width", "height", "format", "dpi_x", "dpi_y", "data", *keep).mapInPandas(run, schema)
 
 
 def _columns() -> list[str]:
@@ -236,12 +250,22 @@ def collected(results: DataFrame, include_blank: bool = False) -> DataFrame:
     return results.filter(F.col("success") & (F.lit(include_blank) | ~F.col("is_blank")) & (F.col("width") > 0) & (F.col("height") > 0))
 
 
+def times(results: DataFrame) -> DataFrame:
+    """elapsed_ms of all pages and mean_ms of one; of no pages 0 and null."""
+    return results.agg(F.coalesce(F.sum("elapsed_ms"), F.lit(0.0)).alias("elapsed_ms"), F.avg("elapsed_ms").alias("mean_ms"))
+
+
+def _listed(results: DataFrame) -> list:
+    """What names a page in the lists: source, output and time where the results have paths."""
+    paths = [F.col("path").alias("source"), F.col("output"), F.round("elapsed_ms", 1).alias("elapsed_ms")] if {"path", "output"} <= set(results.columns) else []
+    return [F.col("image_id"), F.col("page_index"), *paths]
+
+
 def good_list(results: DataFrame) -> DataFrame:
-    """JSON of each page that succeeded: the names of its applied steps and the details of all."""
+    """JSON of each page that succeeded: the names of its applied steps, and name, applied and detail of all."""
     names = F.transform(F.filter("steps", lambda s: s.applied), lambda s: s["name"]).alias("steps_applied")
-    details = F.transform("steps", lambda s: F.concat(s["name"], F.lit(": "), s.detail)).alias("step_details")
-    return results.filter("success").select("image_id", "page_index", F.to_json(F.struct("image_id", "page_index", "is_blank", names, details)).alias("json"))
+    return results.filter("success").select("image_id", "page_index", F.to_json(F.struct(*_listed(results), "is_blank", names, F.col("steps").alias("step_details"))).alias("json"))
 
 
 def exception_list(results: DataFrame) -> DataFrame:
-    return results.filter("not success").select("image_id", "page_index", F.to_json(F.struct("image_id", "page_index", "error")).alias("json"))
+    return results.filter("not success").select("image_id", "page_index", F.to_json(F.struct(*_listed(results), "error", *(["is_blank"] if "path" in results.columns else []))).alias("json"))

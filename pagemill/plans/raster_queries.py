@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import expressions as X
 from pagemill.operators import components as C, pixels as R
-from pagemill.plans import codec_udfs, page_pipeline, profile as profiles
+from pagemill.plans import codec_udfs, directory, page_pipeline, profile as profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,7 +126,7 @@ def _rgb():
     return v, v * 3 % 256, 255 - v
 
 
-@query("rgb_to_gray", _with("SELECT image_id, x, y, (77 * v + 150 * (v * 3 % 256) + 29 * (255 - v)) >> 8 AS gray, CAST(floor(0.299 * v + 0.587 * (v * 3 % 256) + 0.114 * (255 - v) + 0.5) AS INTEGER) AS luminance FROM pixels", PIXELS))
+@query("rgb_to_gray", _with("SELECT image_id, x, y, (77 * v + 150 * (v * 3 % 256) + 29 * (255 - v) + 128) >> 8 AS gray, CAST(floor(0.299 * v + 0.587 * (v * 3 % 256) + 0.114 * (255 - v) + 0.5) AS INTEGER) AS luminance FROM pixels", PIXELS))
 def rgb_to_gray(spark, d):
     return pixels(spark, d).select("image_id", "x", "y", R.gray(*_rgb()).alias("gray"), R.luminance(*_rgb()).alias("luminance"))
 
@@ -162,13 +162,19 @@ def pad(spark, d):
     return R.pad(tiles(spark, d), T, T, 1, 2, 3, 4, 17)
 
 
-@query("blit", _with("SELECT a.image_id, a.x, a.y, coalesce(255 - b.v, a.v) AS v FROM tiles a LEFT JOIN tiles b ON a.image_id = b.image_id AND b.x + 3 = a.x AND b.y - 2 = a.y", TILES))
+_ONCE = TILES.replace("tiles AS (", "tiles AS MATERIALIZED (", 1)
+
+
+@query("blit", _with("SELECT image_id, x, y, coalesce(m.v, a.v) AS v FROM tiles a LEFT JOIN moved m USING (image_id, x, y)", _ONCE, "moved AS MATERIALIZED (SELECT image_id, x + 3 AS x, y - 2 AS y, 255 - v AS v FROM tiles)"))
 def blit(spark, d):
     t = tiles(spark, d)
     return R.blit(t, t.withColumn("v", 255 - F.col("v")), 3, -2)
 
 
-@query("scale_nearest", _with(f"SELECT g.image_id, g.x, g.y, t.v FROM grid g JOIN tiles t ON t.image_id = g.image_id AND t.x = least(CAST(floor(g.x * CAST({T / 12!r} AS DOUBLE)) AS INTEGER), 7) AND t.y = least(CAST(floor(g.y * CAST({T / 5!r} AS DOUBLE)) AS INTEGER), 7)", TILES, _GRID.format(w=12, h=5)))
+_NEAREST = f"places AS MATERIALIZED (SELECT image_id, x, y, least(CAST(floor(x * CAST({T / 12!r} AS DOUBLE)) AS INTEGER), 7) AS sx, least(CAST(floor(y * CAST({T / 5!r} AS DOUBLE)) AS INTEGER), 7) AS sy FROM grid)"
+
+
+@query("scale_nearest", _with("SELECT p.image_id, p.x, p.y, s.v FROM places p JOIN (SELECT image_id, x AS sx, y AS sy, v FROM tiles) s USING (image_id, sx, sy)", _ONCE, _GRID.format(w=12, h=5), _NEAREST))
 def scale_nearest(spark, d):
     return R.scale_nearest(tiles(spark, d), T, T, 12, 5)
 
@@ -353,9 +359,11 @@ def movement_limit(spark, d):
     return table(spark, d, "lineitem").select(*_KEYS, placed.alias("placed"), (placed != F.col("l_partkey")).alias("clamped"))
 
 
-@query("margin_placement", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN (1000 - l_partkey) // 2 + CASE WHEN 1000 < l_partkey AND (1000 - l_partkey) % 2 <> 0 THEN adjust ELSE 0 END ELSE l_suppkey END AS place FROM (SELECT *, CASE WHEN -7 // 2 = -4 THEN 1 ELSE 0 END AS adjust FROM lineitem)")
+@query("margin_placement", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey + CAST(trunc((1000 - l_suppkey - l_linenumber - l_partkey) / 2.0) AS BIGINT) ELSE l_suppkey END AS place FROM lineitem")
 def margin_placement(spark, d):
-    return table(spark, d, "lineitem").select(*_KEYS, X.margin_place(F.lit(1000), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber") % 2 == 0).alias("place"))
+    """Content of l_partkey pixels on 1000, with margins of l_suppkey before and l_linenumber after it."""
+    place = X.margin_place(F.lit(1000), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_linenumber") % 2 == 0)
+    return table(spark, d, "lineitem").select(*_KEYS, place.alias("place"))
 
 
 _PATH = "'/in/' || p_brand || '/' || replace(p_name, ' ', '_')"
@@ -372,10 +380,10 @@ def format_dispatch(spark, d):
     return _paths(spark, d).select("p_partkey", X.decoder_of(F.col("path")).alias("decoder"))
 
 
-@query("output_paths", f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '/out' ELSE '/in/' || p_brand END || '/' || replace(p_name, ' ', '_') || '_clean' || CASE WHEN p_size % 5 = 0 THEN '.png' WHEN {_EXT} <> '' THEN {_EXT} ELSE '.tif' END AS path FROM part")
+@query("output_paths", f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '/out' ELSE '/in/' || p_brand END || '/' || replace(p_name, ' ', '_') || '_clean' || CASE WHEN p_size % 5 = 0 THEN '.png' WHEN p_size % 7 < 4 THEN '.tif' WHEN {_EXT} <> '' THEN {_EXT} ELSE '.tif' END AS path FROM part")
 def output_paths(spark, d):
     folder, ext = F.when(F.col("p_size") % 3 == 0, F.lit("/out")), F.when(F.col("p_size") % 5 == 0, F.lit("png"))
-    return _paths(spark, d).select("p_partkey", X.output_path(F.col("path"), folder, F.lit("_clean"), ext).alias("path"))
+    return _paths(spark, d).select("p_partkey", X.output_path(F.col("path"), folder, F.lit("_clean"), ext, F.col("p_size") % 7 < 4).alias("path"))
 
 
 @query("compression_choice", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 WHEN p_size % 3 = 1 OR p_size % 2 = 0 THEN 5 ELSE 4 END AS compression FROM part")
@@ -492,6 +500,71 @@ def good_list(spark, d):
     return page_pipeline.good_list(_results(spark, d))
 
 
+_PLAIN_STEPS = (
+    ("rotate", "false", "'no rotation'"), ("edge_cleanup", "false", "'disabled'"), ("deskew", "false", "'disabled'"), ("hole_cleanup", "false", "'disabled'"), ("despeckle", "false", "'disabled'"),
+    ("detect_subimage", "true", "'content at (' || mx || ',' || my || ') ' || (1 + bx - mx) || 'x' || (1 + b_y - my) || ' px, ' || parts || ' components'"), ("blank_page", "false", "'disabled'"),
+    ("margins", "true", "'positioned content at (7,5) on 96x80 canvas'"),
+)
+_PLAIN_LOG = " UNION ALL ".join(f"SELECT image_id, {i} AS position, '{n}' AS name, {a} AS applied, {t} AS detail FROM pages" for i, (n, a, t) in enumerate(_PLAIN_STEPS))
+_PLAIN_PAGES = (
+    "pages AS (SELECT image_id, min(x) AS mx, min(y) AS my, max(x) AS bx, max(y) AS b_y, any_value(parts) AS parts FROM pixels"
+    " JOIN (SELECT image_id, count(*) AS parts FROM labelled GROUP BY image_id) USING (image_id) WHERE v < 128 GROUP BY image_id)"
+)
+
+
+def _plain_results(spark, d):
+    return page_pipeline.run_pages(bw_pages(spark, d), _profile())
+
+
+@query("pipeline_log", _with(_PLAIN_LOG, PIXELS, SPANS, _parts(), _PLAIN_PAGES, recursive=True))
+def pipeline_log(spark, d):
+    return _plain_results(spark, d).select("image_id", F.posexplode("steps").alias("position", "step")).select("image_id", "position", "step.name", "step.applied", "step.detail")
+
+
+_STEP_JSON = "'{\"name\":\"' || name || '\",\"applied\":' || applied || ',\"detail\":\"' || detail || '\"}'"
+
+
+@query(
+    "good_list_plain",
+    _with(
+        "SELECT image_id, 0 AS page_index, '{\"image_id\":' || image_id || ',\"page_index\":0,\"is_blank\":false,\"steps_applied\":[\"detect_subimage\",\"margins\"],\"step_details\":[' ||"
+        f" string_agg({_STEP_JSON}, ',' ORDER BY position) || ']}}' AS json FROM ({_PLAIN_LOG}) GROUP BY image_id",
+        PIXELS, SPANS, _parts(), _PLAIN_PAGES, recursive=True,
+    ),
+)
+def good_list_plain(spark, d):
+    return page_pipeline.good_list(_plain_results(spark, d))
+
+
+@query("quality_exceptions", _with("SELECT image_id, 0 AS page_index, 'unknown step: bleach' AS reason FROM (SELECT DISTINCT image_id FROM tiles)", TILES))
+def quality_exceptions(spark, d):
+    return directory.quality_lists(page_pipeline.run_pages(gray_pages(spark, d), profiles.profile(), only="bleach"))[0]
+
+
+@query(
+    "steps_alone",
+    _with(
+        "SELECT image_id, step, applied, detail FROM (SELECT DISTINCT image_id FROM tiles), (VALUES ('rotate', false, 'no rotation'), ('color_dropout', false, 'disabled'), ('resize', false, 'no resize applied'),"
+        " ('hole_cleanup', false, 'disabled'), ('despeckle', false, 'skipped (not BW1)')) AS s(step, applied, detail)",
+        TILES,
+    ),
+)
+def steps_alone(spark, d):
+    """Steps on their own look at whether they are enabled, as all of them together do."""
+    off = profiles.profile(color_dropout={"enabled": False, "color": "red"}, resize={"enabled": False}, despeckle={"mode": "single_pixel"})
+    done = directory.investigated(gray_pages(spark, d), off, ("rotate", "color_dropout", "resize", "hole_cleanup", "despeckle"))
+    return done.select("image_id", "step", F.inline("steps")).select("image_id", "step", "applied", "detail")
+
+
+@query(
+    "viewer_file_filter",
+    "SELECT p_partkey, p_size % 4 < 2 AS pages, p_size % 4 = 0 AS tiff, p_size % 4 = 1 AS bmp, true AS every FROM part",
+)
+def viewer_file_filter(spark, d):
+    kinds = [X.file_filter(F.col("path"), k).alias(k) for k in ("pages", "tiff", "bmp", "every")]
+    return _paths(spark, d).select("p_partkey", *kinds)
+
+
 @query("exception_list", _with("SELECT image_id, 0 AS page_index, '{\"image_id\":' || image_id || ',\"page_index\":0,\"error\":\"unknown step: bleach\"}' AS json FROM (SELECT DISTINCT image_id FROM tiles)", TILES))
 def exception_list(spark, d):
     return page_pipeline.exception_list(page_pipeline.run_pages(gray_pages(spark, d), profiles.profile(), only="bleach"))

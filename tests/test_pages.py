@@ -158,3 +158,30 @@ def test_profile_errors():
         with pytest.raises(PR.ProfileError):
             PR.from_json(bad)
     assert PR.from_json('{"nobody": [1], "canvas": {"preset": "LEGAL"}}')["canvas"]["preset"] == "legal"
+
+
+def test_steps_on_their_own_ask_whether_they_are_enabled():
+    red = Page(np.dstack([np.full((5, 5), 255, np.uint8), *[np.zeros((5, 5), np.uint8)] * 2]), RGB24, 300, 300)
+    off = PR.profile(color_dropout={"enabled": False, "color": "red", "threshold": 30}, resize={"enabled": False})
+    for step, said in (("color_dropout", "disabled"), ("resize", "no resize applied")):
+        s, error = PP.run_page(red, off, only=step)
+        assert not error and s.log == [(step, False, said)] and (s.page.pixels == red.pixels).all()
+    on = PR.profile(color_dropout={"enabled": True, "color": "red", "threshold": 30}, resize={"enabled": True})
+    assert PP.run_page(red, on, only="color_dropout")[0].page.pixels.min() == 255 and PP.run_page(red, on, only="resize")[0].log == [("resize", True, "resized")]
+
+
+def test_gray_is_rounded():
+    px = np.array([[[2, 0, 0], [0, 0, 5], [255, 255, 255], [1, 0, 0]]], np.uint8)
+    assert P.convert(Page(px, RGB24), GRAY8).pixels.tolist() == [[1, 1, 255, 0]]
+
+
+def test_paths_and_places(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.functions import expressions as X
+
+    one = spark.range(1)
+    path = lambda source, ext, tiff=None: one.select(X.output_path(F.lit(source), F.lit(""), F.lit("_c"), F.lit(ext), tiff).alias("p")).first().p
+    assert path("/in/a.BMP", "") == "/in/a_c.tif" and path("/in/a.BMP", "png") == "/in/a_c.png" and path("/in/a.BMP", "", F.lit(False)) == "/in/a_c.BMP" and path("/in/a", "", F.lit(False)) == "/in/a_c.tif"
+    place = lambda before, after, size: one.select(X.margin_place(F.lit(100), F.lit(size), F.lit(before), F.lit(after), F.lit(True)).alias("p")).first().p
+    assert place(10, 20, 50) == 20 and place(10, 20, 71) == 10 and place(10, 20, 75) == 8
