@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +61,21 @@ def read_json(spark, path: str) -> DataFrame:
 
 
 def write_json(jobs: DataFrame, path: str) -> None:
-    """Jobs as lines of JSON, spread over files; :func:`array_text` gives one array of a bounded list."""
+    """Jobs as lines of JSON, spread over files; :func:`array_parts` and :func:`array_text` give one array."""
     jobs.select(to_json(job_struct()).alias("value")).write.text(path)
 
 
-def array_text(jobs: DataFrame, limit: int = 10_000) -> str:
-    """One JSON array on the driver; more than ``limit`` jobs are refused."""
-    rows = jobs.select(to_json(job_struct()).alias("j")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} jobs; write them as lines")
-    return "[" + ",".join(r.j for r in rows) + "]"
+def array_parts(jobs: DataFrame) -> Iterator[str]:
+    """One JSON array in parts, a job each; the driver holds a partition at a time."""
+    yield "["
+    for i, r in enumerate(jobs.select(to_json(job_struct()).alias("j")).toLocalIterator()):
+        yield f",{r.j}" if i else r.j
+    yield "]"
+
+
+def array_text(jobs: DataFrame) -> str:
+    """One JSON array as one string."""
+    return "".join(array_parts(jobs))
 
 
 def summary_json(summary: DataFrame) -> DataFrame:

@@ -127,6 +127,12 @@ def transition(jobs: DataFrame, where: Column, state: str, now: Time, message: C
     return changed(jobs, where, now, state=F.lit(state), error_message=message if message is not None else F.lit(None).cast("string"))
 
 
+def transition_joined(jobs: DataFrame, ids: DataFrame, state: str, now: Time, message: Column | None = None) -> DataFrame:
+    """:func:`transition` of the jobs whose id is in ``ids``."""
+    marked = jobs.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    return transition(marked, F.col("_hit"), state, now, message).select(jobs.columns)
+
+
 def resume_active(jobs: DataFrame, now: Time) -> DataFrame:
     return transition(jobs, active(), "submitted", now)
 
@@ -207,6 +213,18 @@ def collected(children: DataFrame, name: str) -> DataFrame:
     return children.groupBy(F.col("job_id").alias("id")).agg(rows.alias("r")).select("id", F.col(f"r.{name}").alias(name))
 
 
+def events_between(before: DataFrame, after: DataFrame, message: str | None = None) -> DataFrame:
+    """(job_id, state, message) of each job that is new or has changed; a job in exception says its error, unless ``message`` is given.
+
+    Removed jobs have no event. Only a hash of each row is joined.
+    """
+    own = F.xxhash64(*[c for c in after.columns if c != "id"])
+    was = before.select("id", F.xxhash64(*[c for c in after.columns if c != "id"]).alias("_was"))
+    touched = after.withColumn("_now", own).join(was, "id", "left").filter(~F.col("_now").eqNullSafe(F.col("_was")))
+    said = F.lit(message).cast("string") if message is not None else F.col("error_message")
+    return touched.select(F.col("id").alias("job_id"), "state", said.alias("message"))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """Of each job the state and message of its last event."""
     last = F.max_by(F.struct("state", "message"), "seq")

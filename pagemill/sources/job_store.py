@@ -1,7 +1,8 @@
-"""Job stores: versioned Parquet snapshots with one writer, a folder of text files, and the choice between them.
+"""Job stores: versioned Parquet snapshots, a folder of text files, JDBC tables, and the choice between them.
 
-A snapshot is a new folder; the pointer file that names the current one is replaced by a rename, so readers see the old
-or the new state. A commit checks that the pointer is still the one its changes came from.
+A snapshot is a new folder. Each version has a pointer file of its own, numbered, that is published whole and only if there
+is none of that number yet; the largest number is current. So readers see the old or the new state at any time, also after
+a writer has died, and of two writers that start from one version one gets a :class:`Conflict`.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import jobs as J
 from pagemill.schema import JOB, JOB_COLUMNS
+from pagemill.sources.shared import stored
 
 SCHEMA_VERSION = 7
 
@@ -51,11 +55,25 @@ class _Files:
         finally:
             stream.close()
 
-    def rename(self, a: str, b: str) -> None:
-        if self.exists(b):
-            self.fs.delete(self._path(b), True)
-        if not self.fs.rename(self._path(a), self._path(b)):
-            raise Conflict(f"could not move {a} to {b}")
+    def names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))] if self.exists(folder) else []
+
+    def publish(self, a: str, b: str) -> None:
+        """Give the complete file ``a`` the name ``b`` in one step, unless there is a ``b``: by a hard link on a local disk,
+        elsewhere by a rename, which fails on an existing file.
+        """
+        if self.fs.getUri().getScheme() == "file":
+            local = lambda p: self.jvm.java.io.File(self._path(p).toUri().getPath()).toPath()
+            try:
+                self.jvm.java.nio.file.Files.createLink(local(b), local(a))
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                    raise
+                raise Conflict(f"{b} exists already") from None
+            finally:
+                self.fs.delete(self._path(a), False)
+        elif self.exists(b) or not self.fs.rename(self._path(a), self._path(b)):
+            raise Conflict(f"{b} exists already")
 
 
 def migrated(jobs: DataFrame) -> DataFrame:
@@ -72,19 +90,25 @@ def migrated(jobs: DataFrame) -> DataFrame:
 
 @dataclass
 class SnapshotStore:
+    """``sink`` gets a frame (job_id, state, message) of the events of each change; see :func:`event_folder`."""
+
     spark: SparkSession
     root: str
+    sink: Callable[[DataFrame], None] | None = None
 
-    def _pointer(self) -> dict | None:
+    def _pointer(self, version: int | None = None) -> dict | None:
         files = _Files(self.spark, self.root)
-        return json.loads(files.read(f"{self.root}/current.json")) if files.exists(f"{self.root}/current.json") else None
+        found = sorted(n for n in files.names(self.root) if re.fullmatch(r"version-\d{10}\.json", n))
+        if version is not None:
+            found = [n for n in found if n == f"version-{version:010d}.json"]
+        return json.loads(files.read(f"{self.root}/{found[-1]}")) if found else None
 
     def version(self) -> int:
         return (self._pointer() or {"version": 0})["version"]
 
-    def jobs(self) -> DataFrame:
-        """The current snapshot; an older layout is migrated as it is read, a newer one is refused."""
-        p = self._pointer()
+    def jobs(self, version: int | None = None) -> DataFrame:
+        """The current snapshot, or that of ``version``; an older layout is migrated as it is read, a newer one is refused."""
+        p = self._pointer(version)
         if p is None:
             return self.spark.createDataFrame([], JOB)
         if p["schema"] > SCHEMA_VERSION:
@@ -99,13 +123,19 @@ class SnapshotStore:
             raise Conflict(f"version {based_on} is not current any more")
         files = _Files(self.spark, self.root)
         files.write(f"{self.root}/next-{name}.json", json.dumps({"version": based_on + 1, "path": name, "schema": SCHEMA_VERSION}))
-        files.rename(f"{self.root}/next-{name}.json", f"{self.root}/current.json")
+        files.publish(f"{self.root}/next-{name}.json", f"{self.root}/version-{based_on + 1:010d}.json")
         return based_on + 1
 
-    def apply(self, change) -> int:
-        """Commit ``change(jobs)``."""
+    def apply(self, change, message: str | None = None) -> int:
+        """Commit ``change(jobs)`` and send the events of the jobs it touched to the store's sink."""
         at = self.version()
-        return self.commit(change(self.jobs()), at)
+        version = self.commit(change(self.jobs(at or None)), at)
+        self._emit(at, version, message)
+        return version
+
+    def _emit(self, before: int, after: int, message: str | None) -> None:
+        if self.sink is not None:
+            self.sink(J.events_between(self.jobs(before or None) if before else self.spark.createDataFrame([], JOB), self.jobs(after), message))
 
     def upsert(self, new: DataFrame, now: Column) -> int:
         return self.apply(lambda jobs: J.upsert(jobs, migrated(new), now))
@@ -114,15 +144,19 @@ class SnapshotStore:
         return self.apply(lambda jobs: J.delete(jobs, ids))
 
     def claim(self, n: int, now: Column) -> DataFrame:
-        """The claimed jobs, once the claim is committed: they are read from the new snapshot, so no other batch has them."""
-        at, jobs = self.version(), self.jobs()
-        batch = f"claim-{uuid.uuid4().hex}"
-        claimed = J.claim(jobs, n, now).withColumn("error_message", F.lit(batch))
-        rest = jobs.join(claimed.select("id"), "id", "left_anti").select(*JOB_COLUMNS)
-        version = self.commit(rest.unionByName(claimed.select(*JOB_COLUMNS)), at)
-        got = self.jobs().filter(F.col("error_message") == batch).withColumn("error_message", F.lit(None).cast("string"))
-        self.commit(self.jobs().withColumn("error_message", F.when(F.col("error_message") != batch, F.col("error_message"))), version)
-        return got
+        """The claimed jobs, once the claim is committed: settled first and committed in one step, so no other batch has them."""
+        at = self.version()
+        jobs = self.jobs(at or None)
+        claimed = stored(J.claim(jobs, n, now).select(*JOB_COLUMNS), "claim")
+        if not claimed.isEmpty():
+            rest = jobs.join(claimed.select("id"), "id", "left_anti").select(*JOB_COLUMNS)
+            self._emit(at, self.commit(rest.unionByName(claimed), at), None)
+        return claimed
+
+
+def event_folder(folder: str) -> Callable[[DataFrame], None]:
+    """A sink that appends events with their time as JSON files, which :mod:`pagemill.streaming.events` reads."""
+    return lambda events: events.select(F.current_timestamp().alias("ts"), "job_id", "state", "message").write.mode("append").json(folder)
 
 
 # text files: one job a file, lines of key=value ----------------------------------------------------------------------
@@ -131,18 +165,23 @@ _PAIR = r"(?m)^([a-z_0-9]+)=(.*)$"
 
 
 def _quoted(text: str | None) -> str:
-    return '"' + (text or "").replace("\\", "\\\\").replace('"', '\\"') + '"'
+    return '"' + (text or "").replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r") + '"'
 
 
 def _unquoted(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(c, r'^"((?s:.*))"$', 1), r"\\(.)", "$1")
+    inner = F.regexp_extract(c, r'^"((?s:.*))"$', 1)
+    for escape, char in ((r"\\n", "\n"), (r"\\r", "\r")):  # an escape stands after an even number of backslashes
+        inner = F.regexp_replace(inner, r"(?<!\\)((?:\\\\)*)" + escape, "$1" + char)
+    return F.regexp_replace(inner, r"\\(.)", "$1")
 
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
     """Jobs of the ``.job`` files of a folder, not below it; files that lack id, state or source are skipped."""
     raw = spark.read.option("pathGlobFilter", "*.job").text(folder, wholetext=True)
     keys, values = F.regexp_extract_all("value", F.lit(_PAIR), F.lit(1)), F.regexp_extract_all("value", F.lit(_PAIR), F.lit(2))
-    kept = raw.select(F.map_from_entries(F.map_entries(F.map_from_arrays(F.array_distinct(keys), F.slice(values, F.lit(1), F.size(F.array_distinct(keys)))))).alias("m"))
+    pairs = raw.select(F.arrays_zip(keys.alias("k"), values.alias("v")).alias("p"))
+    last = F.filter("p", lambda x, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda later: later["k"] == x["k"]))  # of a repeated key the last counts
+    kept = pairs.select(F.map_from_entries(last).alias("m"))
     get = lambda k: F.try_element_at("m", F.lit(k))
     text = lambda k: F.when(get(k).isNotNull(), _unquoted(get(k)))
     time = lambda k: F.timestamp_micros(F.try_to_number(get(k), F.lit("S9999999999999999999")).cast("bigint")).cast("timestamp_ntz")

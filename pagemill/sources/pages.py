@@ -9,20 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.expressions import decoder_of
+from pagemill.functions.page import BW1, blank
 from pagemill.plans import codec_udfs
 from pagemill.schema import PAGE
 
-EXTENSIONS = ("tif", "tiff", "bmp")
+#: Page files, in any case; files of other names are not listed, so they are not read.
+GLOB = "*.{[tT][iI][fF],[tT][iI][fF][fF],[bB][mM][pP]}"
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the page files of a folder, not below it."""
-    found = spark.read.format("binaryFile").load(folder)
-    return found.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*EXTENSIONS)).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder).select("path", "content")
 
 
-def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, PAGE): a row for each page of each file, up to the first that can't be decoded; image_id is a hash of the path."""
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths of the page files of a folder in order of the path; contents are not read."""
+    return list_files(spark, folder).select("path").orderBy("path")
+
+
+def existing(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path) of the files in ``folders``, those that there are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in folders]
+    there = [f for f, p in zip(folders, paths, strict=True) if p.getFileSystem(conf).exists(p)]
+    if not there:
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:", "").alias("path"))
+
+
+def read_pages(spark: SparkSession, folder: str, unreadable: bool = False) -> DataFrame:
+    """(path, PAGE): a row for each page of each file, up to the first that can't be decoded; image_id is a hash of the path.
+
+    With ``unreadable`` a file without pages has one row, an empty page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagemill.sources.codecs import tiff
@@ -33,6 +52,8 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
                 if not pages and r["decoder"] != "tiff":
                     one = codec_udfs.page_from(r["content"], "bmp")
                     pages = [one] if one is not None else []
+                if unreadable and not pages:
+                    pages = [blank(0, 0, BW1)]
                 rows = [(r["path"], *codec_udfs._row(r["image_id"], i, p)) for i, p in enumerate(pages)]
                 yield codec_udfs._batch(rows, ["path", *codec_udfs._NAMES], [pa.string(), *codec_udfs._KINDS])
 
@@ -45,11 +66,6 @@ def read_tags(spark: SparkSession, folder: str) -> DataFrame:
     return codec_udfs.tags(list_files(spark, folder).select(F.xxhash64("path").alias("image_id"), F.col("content").alias("bytes")))
 
 
-def without_conflicts(outputs: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Outputs (path, ...) whose path is new, and those that exist already, to be reported."""
-    return outputs.join(existing.select("path"), "path", "left_anti"), outputs.join(existing.select("path"), "path", "left_semi")
-
-
 def write_files(outputs: DataFrame) -> DataFrame:
     """Write (path, bytes) each to a file by way of a temporary name and a rename; (path, size) of what was written.
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,15 +34,26 @@ def test_policy_text():
 
 
 def test_policy_layers(tmp_path):
-    (tmp_path / "00-base.policy").write_text("within=120 priority=40\noverdue=90\n")
+    (tmp_path / "00-base.policy").write_text("within-minutes=120 priority=40\noverdue=90\n")
     (tmp_path / "05-disable.cfg").write_text("no-overdue-escalation\n")
-    (tmp_path / "10-urgent.policy").write_text("within=120 priority=40\nwithin=30 priority=80\nescalate-overdue=true\n")
-    (tmp_path / "readme.md").write_text("not a policy")
+    (tmp_path / "10-urgent.policy").write_text("within-minutes=30 priority=80\nescalate-overdue=true\n")
+    (tmp_path / "readme.md").write_text("within-minutes=1 priority=100\n")
     (tmp_path / ".hidden.policy").write_text("overdue=1")
     p = P.load([str(tmp_path)])
     assert p.windows == [(7200, 40), (1800, 80)] and p.overdue == 90 and p.escalate_overdue
     (tmp_path / "last.txt").write_text("overdue=120")
-    assert P.load([str(tmp_path), str(tmp_path / "last.txt")]).overdue == 120
+    stacked = P.load([str(tmp_path), str(tmp_path / "last.txt")])
+    assert stacked.overdue == 120 and stacked.windows[:2] == p.windows and stacked.escalate_overdue
+
+
+def test_windows_of_a_table(spark):
+    rng = random.Random(5)
+    windows = [(rng.randint(1, 5000), rng.randint(0, 99)) for _ in range(1500)]  # some are equal
+    jobs = frame(spark, *[job(i, due=T0 + dt.timedelta(seconds=rng.randint(-50, 5200))) for i in range(300)])
+    got = {r.id: r.target for r in P.escalate_by_table(jobs, spark.createDataFrame(windows, "within_seconds bigint, priority int"), NOW(), 7).collect()}
+    policy = P.Policy(windows, 7)
+    want = {r.id: r.t for r in jobs.select("id", P.target_priority(policy, P.remaining_seconds(F.col("due_at"), NOW())).alias("t")).collect() if r.t is not None}
+    assert got == want
 
 
 def test_escalation(spark):
@@ -130,3 +142,70 @@ def test_streamed_states(spark, tmp_path):
     q = E.job_states(E.read_events(spark, str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.job_id, r.state) for r in spark.table("states").collect()} == {("a", "completed"), ("b", "submitted")}
+
+
+def test_two_writers_and_a_crash(spark, tmp_path):
+    root = str(tmp_path / "store")
+    a, b = S.SnapshotStore(spark, root), S.SnapshotStore(spark, root)
+    a.upsert(frame(spark, job(0), job(1)), NOW())
+    at, seen = b.version(), b.jobs()
+    a.apply(lambda d: J.set_priority(d, F.lit(True), 5, NOW()))
+    with pytest.raises(S.Conflict):  # b's snapshot is complete, but another of its number is there
+        b.commit(J.set_priority(seen, F.lit(True), 7, NOW()), at)
+    assert {r.priority for r in b.jobs().collect()} == {5}
+    # a writer that wins the look at the version but not the publication
+    late = S.SnapshotStore(spark, root)
+    version = late.version()
+    late.version = lambda: version
+    a.apply(lambda d: J.set_priority(d, F.lit(True), 6, NOW()))
+    with pytest.raises(S.Conflict):
+        late.commit(seen, version)
+    # a writer that dies before it publishes leaves the state as it was
+    files = S._Files(spark, root)
+    seen.write.parquet(f"{root}/snapshot-dead")
+    files.write(f"{root}/next-dead.json", "{")
+    assert {r.priority for r in a.jobs().collect()} == {6} and a.apply(lambda d: d) == version + 2
+
+
+def test_a_claim_is_one_commit(spark, tmp_path):
+    s = S.SnapshotStore(spark, str(tmp_path / "store"))
+    s.upsert(frame(spark, job(0, error_message="old"), job(1)), NOW())
+    at = s.version()
+    got = s.claim(1, NOW())
+    assert s.version() == at + 1 and got.first().error_message is None
+    rows = {r.id: r for r in s.jobs().collect()}
+    assert rows["j0"].state == "validating" and rows["j0"].error_message is None and rows["j1"].state == "submitted"
+    assert s.claim(5, NOW()).count() == 1 and s.claim(5, NOW()).count() == 0 and s.version() == at + 2
+
+
+def test_changes_send_events(spark, tmp_path):
+    seen = []
+    s = S.SnapshotStore(spark, str(tmp_path / "store"), lambda e: seen.append(sorted((r.job_id, r.state, r.message) for r in e.collect())))
+    s.upsert(frame(spark, job(0), job(1), job(2)), NOW())
+    s.claim(1, NOW())
+    s.apply(lambda d: J.transition(d, F.col("id") == "j0", "exception", NOW(), F.lit("jam")))
+    s.apply(lambda d: J.add_item(d, "tags", F.col("id") == "j2", "x", NOW()), "tag added: x")
+    s.remove(s.jobs().filter("id = 'j1'"))
+    assert seen == [[("j0", "submitted", None), ("j1", "submitted", None), ("j2", "submitted", None)], [("j0", "validating", None)], [("j0", "exception", "jam")], [("j2", "submitted", "tag added: x")], []]
+    folder = S.SnapshotStore(spark, str(tmp_path / "store"), S.event_folder(str(tmp_path / "events")))
+    folder.apply(lambda d: J.retry(d, F.col("id") == "j0", NOW()))
+    assert [(r.job_id, r.state) for r in spark.read.json(str(tmp_path / "events")).collect()] == [("j0", "submitted")]
+
+
+def test_text_values_with_newlines_and_repeated_keys(spark, tmp_path):
+    odd = job("n", profile_name='two\nlines\r and \\n "quoted"', tags=["a\nb", "back\\"])
+    (tmp_path / "n.job").write_text(S.job_text(odd) + 'priority=9\nid="last"\n')
+    got = S.read_text(spark, str(tmp_path)).first()
+    assert (got.id, got.priority, got.profile_name, got.tags) == ("last", 9, odd["profile_name"], odd["tags"]) and got.source_path == odd["source_path"]
+
+
+def test_database_tables(spark, tmp_path):
+    from pagemill.sources import job_tables as T
+
+    jobs = frame(spark, job(0, tags=["a", "b"], attachments=["/x", "/y", "/z"], due_at=T0 + dt.timedelta(microseconds=7)), job(1, state="completed", error_message="why"))
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    T.write_jdbc(jobs, url, "overwrite", **options)
+    assert sorted(T.read_jdbc(spark, url, **options).collect()) == sorted(jobs.collect())
+    assert [r.id for r in T.read_jdbc(spark, url, "completed", pushDownPredicate="false", **options).collect()] == ["j1"]
+    assert [r.id for r in T.in_created_order(T.read_jdbc(spark, url, **options)).collect()] == ["j0", "j1"]
