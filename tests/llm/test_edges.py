@@ -60,7 +60,7 @@ def test_pages(spark):
     got = {r.page_id: r for r in wrapper.main_text(pages, wrapper.wrappers(pages)).collect()}
     assert got[1].text == "One\nfirst & best\nsecond line" and got[2].text == got[6].text == "Two\nother\nmore" and got[3].text == got[5].text == "" and got[4].text == "alone"
     assert got[8].text == "deep" and got[None].text == "y" and got[1].n_chars == len(got[1].text)
-    assert got[7].text == "plain"  # a tag that never ends is dropped
+    assert got[7].text == "plain <text & more"  # no tag
     assert wrapper.main_text(pages.limit(0), wrapper.wrappers(pages.limit(0))).count() == 0
 
 
