@@ -6,9 +6,10 @@ give equal chunks wherever they stand. The store is a folder of three Parquet ta
 - ``chunks``: every different chunk once, under the hash of its bytes (ids as little-endian integers of ``width`` bytes);
 - ``recipes``: by ascending doc_id, in blocks: a document's chunk hashes and sizes, its place in the block, and the hash
   of all that (a Merkle leaf);
-- ``manifest``: of each block its documents, ids and Merkle root.
+- ``manifest``: of each block its documents, ids and Merkle root;
+- ``root``: documents, ids and the Merkle root over all blocks.
 
-Reading verifies chunks against their addresses and blocks against their roots. The CRC of a document is put together
+Reading verifies chunks against their addresses, blocks against their roots and the manifest against the root over all. The CRC of a document is put together
 from the CRCs of its chunks, each moved by the bytes that follow it, which is a sum in any order.
 """
 
@@ -19,16 +20,22 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import drop_path, saved, scratch
+from pagemill.llm.common import drop_path, map_batches, saved, scratch, sized
 
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 WIDTH, END_ID = 2, 0
+#: Documents of a block, about.
+BLOCK_DOCS = 50_000
+#: Characters that are encoded together, about.
+TOGETHER = 12_000_000
 #: Words remembered by a process; beyond it they are forgotten.
 REMEMBERED = 900_000
 
@@ -45,16 +52,19 @@ class Encoder:
     The pre-tokenizer always splits before a single space or newline between other characters, so words between them are
     encoded on their own and remembered. It also splits between a letter or digit and the comma or full stop after it,
     so those are cut off too, unless the text has one after something else. A text with any other white space is encoded
-    whole.
+    whole. A word of letters is one piece of the pre-tokenizer, so it goes to the tokenizer's model as it is.
     """
 
-    STOPS = re.compile(r"[\W_][.,]")
-
     #: a comma or full stop after something that is neither letter nor digit
     STOPS = re.compile(r"[.,](?<=[\W_].)")
     #: what keeps a text from being cut: white space in a row, other white space, the memory's mark, special tokens
     ODD = ("  ", "\n\n", " \n", "\n ", "\x00", "<|", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
+    #: how the pre-tokenizer cuts a printable ASCII word and the space before it
+    PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
+    #: how byte-level models write the bytes from 128 on that are no printable Latin-1 characters
+    BYTES = {b: 0x100 + 33 + i for i, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+
     def __init__(self, path: str):
         import os
 
@@ -64,52 +74,98 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 8 * WIDTH:
             raise ValueError("ids do not fit the store's width")
-        self.known: dict[str, bytes] = {}
-        self.newline: np.uint16 | None = None
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{WIDTH}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Words are encoded many at once, one a line: a newline between other characters is a token of its own."""
-        if self.newline is None or "\n" not in self.known:
-            self.newline = np.frombuffer(self._ids(["\n"])[0], f"<u{WIDTH}")[0]
-            self.known |= {"\n": self.newline.tobytes(), "\x00": b""}
-        new -= {"\n", "\x00"}
-        todo = list(new)
-        for at in range(0, len(todo), 4096):
-            cut = todo[at : at + 4096]
-            ids = np.frombuffer(self._ids(["\n".join(w[1:] if w[0] == "\x00" else " " + w for w in cut)])[0], f"<u{WIDTH}")
+        self.model = self.tokenizer.model
+        self.newline = self._ids(["\n"])[0][0]
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known`` numbers the words; the ids of word k are ``size[k]`` of ``ids`` from ``start[k]`` on."""
+        self.known: dict[str, int] = {"\n": 0, "\x00": 1}
+        self.pieces: dict[str, list[int]] = {}
+        self.ids = np.array([self.newline], f"<u{WIDTH}")
+        self.start, self.size = np.array([0, 0]), np.array([1, 0])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{WIDTH}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Words of letters are one piece of the pre-tokenizer; other ASCII words are cut as it does, and their pieces, which
+        come again and again, are remembered too. All others go through the whole tokenizer, many at once, one a line: a
+        newline between other characters is a token of its own.
+        """
+        letters, plain, others = [], [], []
+        for w in new:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                letters.append(w)
+            else:
+                (plain if w.isascii() and w.lstrip("\x00").isprintable() else others).append(w)
+        cut = [self.PIECE.findall(w[1:] if w[0] == "\x00" else " " + w) for w in plain]
+        for p in {p for ps in cut for p in ps}.difference(self.pieces):
+            self.pieces[p] = self._of_model(p.replace(" ", "Ġ"))
+        found = [self._of_model("Ġ" + w if w.isascii() else "Ġ" + w.encode().decode("latin-1").translate(self.BYTES)) for w in letters]
+        found += [list(chain.from_iterable(map(self.pieces.__getitem__, ps))) for ps in cut]
+        found += self._by_line([w[1:] if w[0] == "\x00" else " " + w for w in others])
+        for w in (*letters, *plain, *others):
+            self.known[w] = len(self.known)
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), f"<u{WIDTH}")))
+        self.size = np.concatenate((self.size, np.fromiter(map(len, found), np.int32, len(found))))
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def _of_model(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _by_line(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(words), 4096):
+            ids = self._ids(["\n".join(words[at : at + 4096])])[0]
             ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-            if len(ends) != len(cut):
+            if len(ends) != len(words[at : at + 4096]):
                 raise ValueError("the tokenizer does not split at newlines")
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(cut, ends, strict=True):
-                self.known[w] = raw[WIDTH * start : WIDTH * end]
+            flat, start = ids.tolist(), 0
+            for end in ends:
+                out.append(flat[start:end])
                 start = end + 1
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        at, size, words = [], 0, []
+        at, size, lines = [], 0, []
         for i, text in enumerate(texts):
             if text and (text[0] in " \n" or text[-1] in " \n" or any(c in text for c in self.ODD)):
-                out[i] = self._ids([text])[0]
+                out[i] = self._ids([text])[0].tobytes()
             elif text:
                 at.append(i)
                 line = "\x00" + text.replace("\n", " \n \x00")
                 if not self.STOPS.search(text):
                     line = line.replace(", ", " \x00, ").replace(". ", " \x00. ")
-                words.append(line.split(" "))
+                lines.append(line)
                 size += len(text)
-            if words and (size >= 1_000_000 or i == len(texts) - 1):
-                if len(self.known) > REMEMBERED:
-                    self.known = {}
-                self._learn({w for ws in words for w in ws}.difference(self.known))
-                for j, ws in zip(at, words, strict=True):
-                    out[j] = b"".join(map(self.known.__getitem__, ws))
-                at, size, words = [], 0, []
+            if lines and (size >= TOGETHER or i == len(texts) - 1):
+                for j, raw in zip(at, self._lines(lines), strict=True):
+                    out[j] = raw
+                at, size, lines = [], 0, []
         return out
 
+    def _lines(self, lines: list[str]) -> Iterator[bytes]:
+        """The ids of each line of words between single spaces."""
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(new)
+        word = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        size = self.size[word]
+        ends = np.cumsum(size, dtype=np.int64)
+        place = np.repeat((self.start[word] - (ends - size)).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.ids[place]
+        raw, stops = ids.tobytes(), np.concatenate(([0], ends))[split.offsets.to_numpy()].tolist()
+        for s, e in zip(stops[:-1], stops[1:], strict=True):
+            yield raw[WIDTH * s : WIDTH * e]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -224,12 +280,16 @@ class Store:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.path}/{name}")
 
+    def blocks(self, spark: SparkSession) -> list:
+        """The rows of the manifest, one for each block, in order."""
+        return self.table(spark, "manifest").orderBy("block").collect()
+
 
 def _stage(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         met: set[bytes] = set()  # chunks that this task has passed on already
-        for b in batches:
+        for b in _larger(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             hashes, sizes, bodies, n = [], [], [], []
             for raw in enc.encode_all(texts):
@@ -254,6 +314,19 @@ def _stage(tokenizer: str):
     return run
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TOGETHER bytes at least, so that a word is looked up once for many texts."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recipes of one block in order, then a row (at -1) with the block's documents, ids and Merkle root."""
     from pyspark import TaskContext
@@ -286,19 +359,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, blocks: int
     """
     spark = docs.sparkSession
     staged_path = f"{path}/staged"
-    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _stage(tokenizer or default_tokenizer()), "doc_id bigint, n_tokens bigint, hashes array<binary>, sizes array<int>, bodies array<struct<hash: binary, ids: binary>>"
-    ).write.option("compression", "zstd").parquet(staged_path)
+    schema = "doc_id bigint, n_tokens bigint, hashes array<binary>, sizes array<int>, bodies array<struct<hash: binary, ids: binary>>"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    map_batches(rows, _stage(tokenizer or default_tokenizer()), schema).write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     staged.select(F.inline("bodies")).dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-staged.count() // BLOCK_DOCS))
     ordered = staged.select("doc_id", "n_tokens", "hashes", "sizes").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("hashes").cast("array<string>"))
     schema = "block bigint, at bigint, doc_id bigint, start bigint, n_tokens bigint, hashes array<binary>, sizes array<int>, leaf binary"
-    ordered.mapInArrow(_blocks, schema).write.parquet(f"{path}/recipes")
+    map_batches(ordered, _blocks, schema).write.parquet(f"{path}/recipes")
     rows = spark.read.parquet(f"{path}/recipes").filter("at = -1")
-    rows.select("block", F.col("start").alias("n_docs"), "n_tokens", F.col("leaf").alias("root")).write.parquet(f"{path}/manifest")
+    rows.select("block", F.col("start").alias("n_docs"), "n_tokens", F.col("leaf").alias("root")).coalesce(1).write.parquet(f"{path}/manifest")
+    store = Store(path)
+    spark.createDataFrame([_over_all(store.blocks(spark))], "n_docs bigint, n_tokens bigint, root binary").coalesce(1).write.parquet(f"{path}/root")
     drop_path(spark, staged_path)
-    return Store(path)
+    return store
+
+
+def _over_all(blocks: list) -> tuple[int, int, bytes]:
+    tree = Merkle()
+    for b in blocks:
+        tree.add(address(repr((b.block, b.n_docs, b.n_tokens)).encode() + bytes(b.root)))
+    return sum(b.n_docs for b in blocks), sum(b.n_tokens for b in blocks), tree.root()
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +415,7 @@ def check_blocks(store: Store, spark: SparkSession) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([good and root == (tree.root(), docs, ids)], pa.bool_())], names=["block", "sound"])
 
     rows = store.table(spark, "recipes")
-    return rows.repartition("block").sortWithinPartitions("block", "at").mapInArrow(_by_block(run), "block bigint, sound boolean")
+    return map_batches(rows.repartition("block").sortWithinPartitions("block", "at"), _by_block(run), "block bigint, sound boolean")
 
 
 def _by_block(run):
@@ -365,26 +447,26 @@ def documents(store: Store, spark: SparkSession) -> DataFrame:
     start counts the ids of all documents before; n_tokens and ids_crc32 (ids as little-endian unsigned 32-bit integers)
     come from the chunks. A chunk that is missing or wrong, or a block that does not give its Merkle root, raises.
     """
-    manifest = store.table(spark, "manifest").orderBy("block").collect()  # a row for each block
+    manifest, root = store.blocks(spark), store.table(spark, "root").first()
+    if (root.n_docs, root.n_tokens, bytes(root.root)) != _over_all(manifest):
+        raise ValueError("the manifest does not match the root over all blocks")
     bad = check_blocks(store, spark).filter("not sound").count()
     if bad:
         raise ValueError(f"{bad} blocks do not match their manifest")
-    offsets, total = {}, 0
+    offsets, total = [], 0
     for m in manifest:
-        offsets[m.block] = total
+        offsets.append((m.block, total))
         total += m.n_tokens
     recipes = store.table(spark, "recipes").filter("at >= 0")
-    facts = saved(store.table(spark, "chunks").select("hash", "ids").mapInArrow(_verified, "hash binary, n bigint, crc bigint"))
+    facts = saved(map_batches(store.table(spark, "chunks").select("hash", "ids"), _verified, "hash binary, n bigint, crc bigint"))
     refs = recipes.select("block", "at", F.posexplode("hashes").alias("pos", "hash"), "sizes", "n_tokens")
     after = F.aggregate(F.slice("sizes", F.lit(1), F.col("pos") + 1), F.lit(0).cast("bigint"), lambda s, x: s + x)
     refs = refs.select("block", "at", "hash", (F.col("n_tokens") - after).alias("after"))
     parts = refs.join(facts, "hash", "left").select("block", "at", "after", F.coalesce("n", F.raise_error(F.lit("a chunk is missing")).cast("bigint")).alias("n"), "crc")
-    whole = parts.mapInArrow(_moved, "block bigint, at bigint, n bigint, crc bigint").groupBy("block", "at").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    whole = map_batches(parts, _moved, "block bigint, at bigint, n bigint, crc bigint").groupBy("block", "at").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     found = recipes.select("block", "at", "doc_id", F.col("start").alias("in_block")).join(whole, ["block", "at"])
-    if not offsets:
-        return found.select("doc_id", F.col("in_block").alias("start"), "n_tokens", "ids_crc32")
-    base = F.element_at(F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]), F.col("block"))
-    return found.select("doc_id", (F.col("in_block") + base).alias("start"), "n_tokens", "ids_crc32")
+    bases = sized(spark.createDataFrame(offsets, "block bigint, base bigint"))
+    return found.join(bases, "block").select("doc_id", (F.col("in_block") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def ids_of(store: Store, spark: SparkSession) -> DataFrame:
@@ -397,7 +479,7 @@ def ids_of(store: Store, spark: SparkSession) -> DataFrame:
             raw = [np.frombuffer(b"".join(p["ids"] for p in ps), f"<u{WIDTH}").astype(np.int32) for ps in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return parts.select("doc_id", "parts").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return map_batches(parts.select("doc_id", "parts"), run, "doc_id bigint, ids array<int>")
 
 
 def store_documents(docs: DataFrame) -> DataFrame:

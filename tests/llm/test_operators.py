@@ -12,6 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagemill.llm import cws, decontam, pii, queries, rules, simhash, similar, spviterbi, tokenstore, toxicity
 from pagemill.llm.common import connected_components, table
@@ -127,7 +128,7 @@ def test_language_query(spark, docs):
 
 def test_token_store(spark, docs):
     got = run(spark, "op3_token_store").set_index("doc_id")
-    whole = tokenstore.Encoder(tokenstore.default_tokenizer()).tokenizer
+    whole = Tokenizer.from_file(tokenstore.default_tokenizer())
     start = 0
     for i, t in zip(docs.doc_id, docs.text):
         ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
@@ -144,10 +145,15 @@ def test_store_keeps_chunks_once_and_finds_damage(spark, tmp_path):
     assert ids[0] == ids[19] and tokenstore.documents(store, spark).count() == 21
     broken = chunks.withColumn("ids", F.when(F.col("hash") == chunks.first().hash, F.lit(b"\x01\x00")).otherwise(F.col("ids")))
     broken.write.parquet(str(tmp_path / "b" / "chunks"))
-    for t in ("recipes", "manifest"):
+    for t in ("recipes", "manifest", "root"):
         store.table(spark, t).write.parquet(str(tmp_path / "b" / t))
     with pytest.raises(Exception, match="content of its address"):
         tokenstore.documents(tokenstore.Store(str(tmp_path / "b")), spark).collect()
+    for t in ("chunks", "recipes", "root"):
+        store.table(spark, t).write.parquet(str(tmp_path / "c" / t))
+    store.table(spark, "manifest").withColumn("n_tokens", F.col("n_tokens") + 1).write.parquet(str(tmp_path / "c" / "manifest"))
+    with pytest.raises(ValueError, match="root over all blocks"):
+        tokenstore.documents(tokenstore.Store(str(tmp_path / "c")), spark)
 
 
 @given(st.lists(st.integers(0, 3), max_size=3000), st.lists(st.binary(max_size=40), min_size=1, max_size=6))
