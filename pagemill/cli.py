@@ -7,7 +7,7 @@ import datetime as dt
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import job_json, jobs as J, policy as P
@@ -87,6 +87,11 @@ def _changes(a: argparse.Namespace, now) -> dict:
     }
 
 
+def _jobs_file(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs of a JSON file, or with ``-`` of the standard input."""
+    return job_json.from_json_array(spark.createDataFrame([(sys.stdin.read(),)], "value string")) if path == "-" else job_json.read_json(spark, path)
+
+
 def _policy(a: argparse.Namespace) -> P.Policy:
     """The files' policy, with what the options say over it."""
     said = {k for k, v in (("windows", a.within_minutes), ("overdue", a.overdue is not None), ("escalate", a.no_overdue_escalation)) if v}
@@ -124,7 +129,7 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout) -> int:
             for r in rows.select(job_json.tsv().alias("line")).toLocalIterator():
                 print(r.line, file=out)
     elif a.verb == "import":
-        new = saved(J.imported(job_json.read_json(spark, a.file), now, str(dt.datetime.now())))
+        new = saved(J.imported(_jobs_file(spark, a.file), now, str(dt.datetime.now())))
         store.upsert(new.drop("source_id"), now)
         for r in new.select("source_id", "id").toLocalIterator():
             print(f"{r.source_id}\t{r.id}", file=out)

@@ -40,7 +40,7 @@ class Policy:
 
 
 def _int(text: str, line: int, low: int = -(2**31)) -> int:
-    if not re.fullmatch(r"[+-]?\d+", text) or not low <= int(text) < 2**31:
+    if not re.fullmatch(r"[+-]?[0-9]+", text) or not low <= int(text) < 2**31:
         raise PolicyError(f"line {line}: not a number in range: {text}")
     return int(text)
 

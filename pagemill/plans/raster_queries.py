@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -592,6 +593,26 @@ def rotate_arbitrary(spark, d):
     return codec_udfs.turned(gray_pages(spark, d), 30.0).select("image_id", "width", "height", F.sha2("data", 256).alias("data_sha256"))
 
 
+def _turned_sql(degrees: float) -> str:
+    """Ink of pages turned by an angle: each pixel of the new canvas takes the nearest one of the old."""
+    a = math.radians(degrees)
+    cos, sin = (f"CAST({v!r} AS DOUBLE)" for v in (math.cos(a), math.sin(a)))
+    w, h = math.ceil(W * abs(math.cos(a)) + H * abs(math.sin(a))), math.ceil(W * abs(math.sin(a)) + H * abs(math.cos(a)))
+    near = lambda v: f"CAST(CASE WHEN {v} < 0 THEN -floor(abs({v}) + 0.5) ELSE floor({v} + 0.5) END AS INTEGER)"
+    return _with(
+        "SELECT image_id, t.x, t.y FROM taken t JOIN (SELECT image_id, x AS ix, y AS iy FROM pixels WHERE v < 128) USING (image_id, ix, iy)",
+        PIXELS,
+        f"sheet AS (SELECT image_id, CAST(a AS INTEGER) AS x, CAST(b AS INTEGER) AS y, a - {w / 2.0} AS rx, b - {h / 2.0} AS ry FROM (SELECT DISTINCT image_id FROM pixels), range({w}) AS p(a), range({h}) AS q(b))",
+        f"placed AS (SELECT image_id, x, y, rx * {cos} + ry * {sin} + {W / 2.0} AS sx, -rx * {sin} + ry * {cos} + {H / 2.0} AS sy FROM sheet)",
+        f"taken AS MATERIALIZED (SELECT image_id, x, y, {near('sx')} AS ix, {near('sy')} AS iy FROM placed)",
+    )
+
+
+@query("rotate_arbitrary_ink", _turned_sql(30.0))
+def rotate_arbitrary_ink(spark, d):
+    return C.pixels_of(codec_udfs.turned(bw_pages(spark, d), 30.0)).filter("v = 1").select("image_id", "x", "y")
+
+
 @query("profile_roundtrip", "SELECT 'a4' AS preset, 'cw90' AS rotation, 'millimeters' AS unit, 2.5 AS left_margin, true AS same")
 def profile_roundtrip(spark, d):
     said = '{"canvas": {"preset": "A4"}, "rotation": "CW90", "margins": [{"left": {"distance": {"value": 2.5, "unit": "mm"}}}], "unknown": 1}'

@@ -31,6 +31,3 @@ def write(pages: list[Page], size: tuple[float, float] | None = None) -> bytes:
     out += f"xref\n0 {len(bodies) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{at:010d} 00000 n \n".encode() for at in places)
     out += f"trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R >>\nstartxref\n{table}\n%%EOF\n".encode()
     return bytes(out)
-
-
-SUPPORTED = (BW1, GRAY8, RGB24, RGBA32)

@@ -172,7 +172,3 @@ def read_pages(data: bytes) -> list[Page]:
             break
         out.append(p)
     return out
-
-
-def empty_page() -> Page:
-    return blank(0, 0, BW1)
