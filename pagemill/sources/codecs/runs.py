@@ -144,8 +144,31 @@ def _lengths(codes: str) -> dict[int, str]:
 
 
 RUNS = (_lengths(WHITE), _lengths(BLACK))
-_READ_RUN = tuple({c: n for n, c in r.items()} for r in RUNS)
-_READ_MODE = {PASS: "pass", ACROSS: "across", **{c: d for d, c in VERTICAL.items()}}
+#: No code is longer than this.
+LONGEST = 13
+
+
+def _reader(codes: dict[str, object]) -> list[tuple[int, object]]:
+    """By the next LONGEST bits as a number: the length of the code they begin with, 0 for none, and what it means."""
+    out: list[tuple[int, object]] = [(0, None)] * (1 << LONGEST)
+    for code, meaning in codes.items():
+        rest = LONGEST - len(code)
+        first = int(code, 2) << rest
+        out[first : first + (1 << rest)] = [(len(code), meaning)] * (1 << rest)
+    return out
+
+
+_READ_RUN = tuple(_reader({c: n for n, c in r.items()}) for r in RUNS)
+_READ_MODE = _reader({PASS: "pass", ACROSS: "across", **{c: d for d, c in VERTICAL.items()}})
+
+
+def _ahead(data: bytes) -> np.ndarray:
+    """At each bit the number that it and the LONGEST - 1 behind it make; zeros follow the end."""
+    bits = np.concatenate((np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(LONGEST, np.uint8))).astype(np.uint16)
+    out = np.zeros(len(bits) - LONGEST, np.uint16)
+    for i in range(LONGEST):
+        out = (out << np.uint16(1)) | bits[i : i + len(out)]
+    return out
 
 
 def _run(n: int, colour: int) -> str:
@@ -199,21 +222,21 @@ def g4(bw: np.ndarray) -> bytes:
 
 def ung4(data: bytes, w: int, h: int) -> np.ndarray:
     """Rows until the end mark or the first bad code; what is left is white."""
-    bits = bin(int.from_bytes(b"\x01" + data, "big"))[3:]
+    ahead = _ahead(data).tolist()
     at, out, ref = 0, np.zeros((h, w), np.uint8), []
 
-    def read(table: dict, longest: int):
+    def read(table: list[tuple[int, object]]):
         nonlocal at
-        for n in range(1, longest + 1):
-            if (got := table.get(bits[at : at + n])) is not None and at + n <= len(bits):
-                at += n
-                return got
-        return None
+        n, got = table[ahead[at]] if at < len(ahead) else (0, None)
+        if not n or at + n > len(ahead):
+            return None
+        at += n
+        return got
 
     def run(colour: int) -> int | None:
         total = 0
         while True:
-            n = read(_READ_RUN[colour], 13)
+            n = read(_READ_RUN[colour])
             if n is None:
                 return None
             total += n
@@ -225,7 +248,7 @@ def ung4(data: bytes, w: int, h: int) -> np.ndarray:
         a0, colour, hint = -1, 0, 0
         while a0 < w:
             b1, b2, hint = _next(ref, a0, colour, w, hint)
-            mode = read(_READ_MODE, 7)
+            mode = read(_READ_MODE)
             if mode is None:
                 return out
             if mode == "pass":
@@ -243,6 +266,5 @@ def ung4(data: bytes, w: int, h: int) -> np.ndarray:
                 colour, hint = 1 - colour, max(hint - 1, 0)
         for i in range(0, len(cur), 2):
             out[y, cur[i] : cur[i + 1] if i + 1 < len(cur) else w] = 1
-        ref = [c for c in cur if c < w]
         ref = _changes(out[y])
     return out
