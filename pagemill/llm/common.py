@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single machine) a temporary
-    folder is made and set as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset on a single machine (tests) a temporary folder is
+    made and set as the checkpoint folder; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(path)
         return path
     if held.isEmpty():
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()

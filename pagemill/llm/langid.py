@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import map_batches
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Bound of the sample that dictionaries are made of: documents for each language (twice that may be read), and bytes.
@@ -26,6 +28,8 @@ DICT_BYTES = 224 * 1024
 #: Relative excess of the runner-up under which a text is rejected.
 MARGIN = 0.002
 LEVEL = 5
+#: Languages that are learnt, those of the most documents: what is broadcast has at most so many dictionaries.
+MOST_LANGS = 200
 #: Bytes that are compressed at once.
 BLOCK = 1024
 
@@ -38,14 +42,16 @@ def fit(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS, dict_by
     reached. Ties and copies: equal texts are used once. Without usable rows the result is empty.
     """
     rows = docs.select("doc_id", "text", "lang").filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = {r.lang: r.n for r in most.collect()}
     if not counts:
         return {}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.5 * sample_docs / n))])
-    rows = rows.withColumn("place", place).filter(F.col("place") <= F.element_at(share, F.col("lang")))
+    rows = rows.withColumn("place", place).filter(F.col("place") <= F.try_element_at(share, F.col("lang")))
     texts: dict[str, list[tuple[float, str]]] = defaultdict(list)
-    for r in rows.limit(2 * sample_docs * len(counts)).collect():
+    few = rows.select("lang", "place", F.substring("text", 1, dict_bytes).alias("text"))  # no dictionary uses more of one
+    for r in few.limit(2 * sample_docs * len(counts)).collect():
         texts[r.lang].append((r.place, r.text))
     out = {}
     for lang, found in texts.items():
@@ -100,7 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 names=["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def keep(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -113,4 +119,4 @@ def keep(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN
         for b in batches:
             yield b.filter(pa.array([not scorer.predict(text, margin)[2] for text in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

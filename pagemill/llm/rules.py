@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import hash_sample
+from pagemill.llm.common import labelled_ids
 
 #: Bound of the labelled sample, in documents (twice that may be read).
 SAMPLE_DOCS = 20_000
@@ -172,16 +172,13 @@ def _lasso(r: np.ndarray, y: np.ndarray, base: float, steps: int = 400) -> tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Ensemble:
-    """The ensemble fitted to labelled rows for which ``usable`` holds; the sample's statistics reach the driver, not its texts."""
-    known = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("y"))
-        .filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable)
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(hash_sample(known, sample_docs)), "doc_id")
-    got = sorted(rows.select("doc_id", "y", *(c.alias(k) for k, c in statistics(F.col("text")).items())).collect())
-    x = np.array([r[2:] for r in got], np.float64).reshape(-1, len(NAMES))
+    """The ensemble fitted to labelled rows for which ``usable`` holds; the sample's statistics reach the driver, not its
+    texts. Of an id with several texts the least statistics count.
+    """
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(labelled_ids(labels, "quality", usable, sample_docs)), "doc_id")
+    stats = F.struct(*(c.alias(k) for k, c in statistics(F.col("text")).items()))
+    got = sorted(rows.select("doc_id", "y", stats.alias("s")).groupBy("doc_id", "y").agg(F.min("s").alias("s")).collect())
+    x = np.array([list(r.s) for r in got], np.float64).reshape(-1, len(NAMES))
     return train(x, np.array([r.y for r in got], np.float64))
 
 

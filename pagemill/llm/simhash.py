@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import connected_components, saved
+from pagemill.llm.common import connected_components, map_batches, saved
 
 SEED = 42
 BITS = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                 out[i] = f
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, fp bigint")
 
 
 def _syndromes(half: np.ndarray) -> np.ndarray:
@@ -204,9 +204,9 @@ def _to_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, bucket_limit: int = 4096) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` exactly as all links of at most 3 bits do."""
-    at = distinct.select("fp").mapInArrow(_to_anchors, "anchor bigint, fp bigint, home boolean")
-    found = saved(at.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(BITS, bucket_limit), "a bigint, b bigint, hot boolean"))
-    hot = found.filter("hot").select(F.col("a").alias("fp")).distinct().mapInArrow(_to_centres, "centre bigint, fp bigint, near boolean")
+    at = map_batches(distinct.select("fp"), _to_anchors, "anchor bigint, fp bigint, home boolean")
+    found = saved(map_batches(at.repartition("anchor").sortWithinPartitions("anchor"), _compare(BITS, bucket_limit), "a bigint, b bigint, hot boolean"))
+    hot = map_batches(found.filter("hot").select(F.col("a").alias("fp")).distinct(), _to_centres, "centre bigint, fp bigint, near boolean")
     star = hot.groupBy("centre").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("b")).filter("b is not null")
     return found.filter("not hot").select("a", "b").unionByName(hot.join(star, "centre").filter("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
 

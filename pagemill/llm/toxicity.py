@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import labelled_sample
+from pagemill.llm.common import labelled_sample, map_batches
 from pagemill.llm.decontam import words_of
 
 BUCKETS, DIM, WIDTHS, FILTERS, STEMS = 1 << 15, 16, (1, 2, 3), 8, (4, 5, 6, 7)
 #: Bound of the labelled sample, in documents (twice that may be read).
 SAMPLE_DOCS = 6_000
+#: One in so many labelled rows is kept for the thresholds.
+CALIBRATED = 5
 EPOCHS, BATCH, RATE = 5, 32, 0.01
 THRESHOLD = 0.3
 #: Words remembered by a process; beyond it they are forgotten.
@@ -195,11 +197,15 @@ def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None]) -> dic
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Net:
-    """The net trained on labelled rows for which ``usable`` holds, with thresholds by language."""
+    """The net trained on labelled rows for which ``usable`` holds; thresholds by language come from every CALIBRATED-th of
+    them, which it is not trained on.
+    """
     rows = labelled_sample(docs, labels, "toxic", usable, sample_docs)
-    net = train([r.text for r in rows], [r.y for r in rows])
-    if rows:
-        net.thresholds = calibrate(Scorer(net).scores([r.text for r in rows]), np.array([r.y for r in rows]), [r.lang for r in rows])
+    apart = [zlib.crc32(f"calibrated {r.doc_id}".encode()) % CALIBRATED == 0 for r in rows]
+    learnt, kept = ([r for r, a in zip(rows, apart, strict=True) if a == side] for side in (False, True))
+    net = train([r.text for r in learnt], [r.y for r in learnt])
+    if kept:
+        net.thresholds = calibrate(Scorer(net).scores([r.text for r in kept]), np.array([r.y for r in kept]), [r.lang for r in kept])
     return net
 
 
@@ -215,7 +221,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scorer.scores(b.column(2).to_pylist()), pa.float64())], names=["doc_id", "lang", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "doc_id bigint, lang string, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), run, "doc_id bigint, lang string, score double")
 
 
 def flagged(lang: Column, value: Column, thresholds: dict[str, float]) -> Column:
