@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import hash_sample
+from pagemill.llm.common import hash_sample, learnable, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bound of the sample that weights are fitted to, in documents (twice that may be read).
 SAMPLE_DOCS = 4000
 THRESHOLD = 0.6
 ROUNDS = 8
-#: Least agreement (log potential) of skip links: the base labels of a repeated token hardly ever differ, so the fit
-#: leaves it near zero.
-AGREEMENT = 1.0
+#: Share of the tokens whose features are withheld from the fit: the base label of a token follows from its features, so
+#: only where they are missing can the fit learn what neighbours and repeats say.
+WITHHELD = 0.3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[^\s]*[0-9@+][^\s]*")
 _MARKED = re.compile(r"[0-9@+]")
+_DIGITS = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
@@ -117,7 +118,7 @@ def _features(text: str, start: int, end: int, before: str) -> list[float]:
     core = t.strip(".,;:!?\"'()[]{}<>*#$%&|")
     digits = _NOT_DIGIT.sub("", t) if len(t) < 200 else ""
     n, letters = len(digits), any(c.isalpha() for c in core[:200])
-    dotted = core.count(".") == 3 and all(x.isdigit() for x in core.split("."))
+    dotted = core.count(".") == 3 and all(_DIGITS.fullmatch(x) for x in core.split("."))
     octets = dotted and all(len(x) <= 3 and int(x) <= 255 for x in core.split(".")) if len(core) < 32 else False
     at = "@" in core
     address = at and "." in core.rpartition("@")[2]
@@ -212,16 +213,17 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
     if not len(g.doc):
         return field
     y = _labels(texts, g)
-    one = np.eye(k)[y]
+    one, x = np.eye(k)[y], g.x.copy()
+    x[np.random.default_rng(1).random(len(x)) < WITHHELD, 1:] = 0
     state = [np.zeros_like(w) for w in (field.unary, field.chain, field.skip)]
     for _ in range(steps):
-        z = g.x @ field.unary
+        z = x @ field.unary
         np.add.at(z, g.chain[:, 1], field.chain[y[g.chain[:, 0]]])
         np.add.at(z, g.chain[:, 0], field.chain[:, y[g.chain[:, 1]]].T)
         np.add.at(z, g.skip[:, 1], field.skip[y[g.skip[:, 0]]])
         np.add.at(z, g.skip[:, 0], field.skip[:, y[g.skip[:, 1]]].T)
         r = one - _softmax(z)
-        grads = [g.x.T @ r]
+        grads = [x.T @ r]
         for links in (g.chain, g.skip):
             w = np.zeros((k, k))
             np.add.at(w, y[links[:, 0]], r[links[:, 1]])
@@ -231,7 +233,7 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
             grad = grad / len(y) - decay * w
             state[i] += grad**2
             w += rate * grad / (np.sqrt(state[i]) + 1e-8)
-    field.skip = np.maximum(field.skip, AGREEMENT) * np.eye(k)  # links only ever ask for agreement
+    field.skip = np.maximum(field.skip, 0) * np.eye(k)  # links only ever ask for agreement
     return field
 
 
@@ -284,8 +286,8 @@ def digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """The field fitted to a bounded sample of ``docs``; an empty table gives one that adds nothing."""
-    rows = hash_sample(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), sample_docs).collect()
+    """The field fitted to a bounded sample of ``docs``, of texts of LEARNT_CHARS at most; an empty table gives one that adds nothing."""
+    rows = hash_sample(docs.select("doc_id", "text").filter(learnable(F.col("text"))), sample_docs).collect()
     return fit([r.text for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))])
 
 
@@ -307,7 +309,7 @@ def detect(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataF
             spans = pa.array([digest([s[:3] for s in v]) for v in found], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, sha, spans, pa.array([sum(not s[3] for s in v) for v in found], pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
 
 
 def masked(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
@@ -339,4 +341,4 @@ def redact(docs: DataFrame, field: Field, threshold: float = THRESHOLD) -> DataF
                 cols[n_at] = pa.array([o if t is None else len(t) for o, t in zip(old, new, strict=True)], b.schema.field(n_at).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

@@ -13,7 +13,7 @@ from pagemill.llm.common import held_out, saved, table
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.detect(docs, pii.fit_on(docs))
+    return pii.detect(docs, pii.fit_on(docs)).withColumn("personal", F.col("spans") != "")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
