@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if held.isEmpty():
-        if not path and not context.master.startswith("local["):
+        if not path and context.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="pagemill-"))
         held = context._jsc.sc().getCheckpointDir()
