@@ -4,10 +4,11 @@ A text is a set of weighted terms: its words (runs without white space) and how
 term, three numbers follow from hashes of the term alone: r and c, Gamma(2, 1), and b, uniform. With S the weight,
 t = floor(ln S / r + b) and ln a = ln c - r (t - b) - r (Ioffe, 2010); the term of least a, with its t, is sample k. Two
 texts share a sample with the probability of their generalised Jaccard similarity, sum of least over sum of largest
-weights. A sample is kept as 64 bits: 40 of ln a, so that a minimum finds it, and 24 of a hash of term and t.
+weights. A sample is kept as 64 bits: 40 of a, so that a minimum finds it, and 24 of a hash of term and t.
 
 A text is cut at the words both versions of it share; runs of equal words come from a sorted array, so no row of a word is
-shuffled. Only whole rows are, once, to put documents beside their successors.
+shuffled. Only whole rows are, once, to put documents beside their successors. A word that both versions have equally often
+is one row, and each row carries several samples, so what a term costs is mostly the arithmetic of its samples.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm.common import saved
+from pagemill.llm.common import saved, sized
 
-SAMPLES = 16
+SAMPLES = 64
+#: Samples that are worked out in one row; with more the generated code is too long to be compiled to machine code.
+AT_ONCE = 4
+#: Documents of a block, and the most blocks; blocks beyond that are larger, and their sort spills.
+BLOCK_ROWS, MOST_BLOCKS = 4096, 16_384
 #: Marks that say which part a word is of; in texts they count as spaces.
 HEAD, TAIL, GIFT = "\x01", "\x02", "\x03"
 _LOW = 1 << 24
@@ -97,19 +102,44 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
 
 
-def samples_of(k: Column, term: Column, *logs: Column) -> list[Column]:
-    """The 64 bits of sample ``k`` for a term (its hash) at each of the logarithms of weights; null weights give null."""
-    one, two = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
-    r = -F.ln(_uniform(one, 0) * _uniform(one, 21))
-    ln_c = F.ln(-F.ln(_uniform(one, 42) * _uniform(two, 0)))
-    b = _uniform(two, 21)
-    out = []
-    for ln_s in logs:
-        t = F.floor(ln_s / r + b)
-        ln_a = ln_c - r * (t - b) - r
-        high = F.floor((F.greatest(F.least(ln_a, F.lit(60.0)), F.lit(-60.0)) + 60.0) * float(1 << 32)).cast("bigint")
-        out.append(high * F.lit(_LOW) + F.pmod(F.xxhash64(term, t), F.lit(_LOW)))
-    return out
+#: The number of the group of samples in whose place a document's own facts travel.
+FACTS = -1
+
+
+def samples_of(rows: DataFrame, wide: int) -> DataFrame:
+    """``rows`` (block, row, term, own, other, ln_s, k, facts) with ``wide`` samples from k * wide on, as 64 bits each: of
+    terms of the text in own0, own1, ..., of the edited text in other0, other1, ...
+
+    r = -ln u1 - ln u2 is Gamma(2, 1), and b = ln u2 / (ln u1 + ln u2) is uniform and independent of it. With these
+    ln S / r + b = (ln S - ln u2) / r and a = c u1 (u1 u2)^t, and t = 0 at weight 1: most terms need c and u1 only.
+    """
+    number = lambda i: F.col("k") * wide + i
+    one = lambda i: F.xxhash64("term", number(i))
+    u1, u2 = (lambda i: _uniform(one(i), 0)), (lambda i: _uniform(F.xxhash64("term", number(i), F.lit(1)), 0))
+    steps = lambda i: F.when(F.col("ln_s") > 0, F.floor((F.col("ln_s") - F.ln(u2(i))) / -F.ln(u1(i) * u2(i)))).otherwise(F.lit(0).cast("bigint"))
+    with_t = rows.select("*", *[steps(i).alias(f"t{i}") for i in range(wide)])
+
+    def bits(i: int) -> Column:
+        t = F.col(f"t{i}")
+        c = -F.ln(_uniform(one(i), 21) * _uniform(one(i), 42))
+        a = c * u1(i) * F.when(t > 0, F.pow(u1(i) * u2(i), t.cast("double"))).otherwise(F.lit(1.0))
+        high = (F.least(a, F.lit(63.0)) * float(1 << 34)).cast("bigint")
+        return F.shiftleft(high, 24).bitwiseOR(F.col("term").bitwiseXOR(t).bitwiseAND(F.lit(_LOW - 1)))
+
+    drawn = with_t.select("block", "row", "k", "own", "other", *_OWN, *_OTHER, *[bits(i).alias(f"s{i}") for i in range(wide)])
+    fact = lambda name, v, i: F.when(F.col("k") == FACTS, F.col(name) if name else F.lit(None)).when(F.col(v), F.col(f"s{i}"))
+    at = lambda names, i: names[i] if i < len(names) else None
+    return drawn.select("block", "row", "k", *[fact(at(names, i), v, i).alias(f"{v}{i}") for v, names in (("own", _OWN), ("other", _OTHER)) for i in range(wide)])
+
+
+#: A document's facts as numbers: the hash of its edited text in four parts, its id and its size.
+_OWN, _OTHER = ("sha0", "sha1", "sha2", "sha3"), ("doc_id", "n_chars")
+
+
+def blocks_of(docs: DataFrame) -> int:
+    """How many blocks the documents are dealt to: by their number, and enough for all tasks of a shuffle."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * tasks, min(MOST_BLOCKS, -(-docs.count() // BLOCK_ROWS)))
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = None) -> DataFrame:
@@ -118,29 +148,44 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
     A signature is an array of ``samples`` numbers, null for texts without words. All rows are kept: null texts count as
     empty, repeated rows have equal signatures, whole texts are used, and columns of other names play no part.
 
-    Rows are (text, term, sample) only between an explode and the hash aggregation that keeps the least of each sample;
-    both are in the stage that read the block, so none of them is shuffled.
+    Rows are (text, term, some samples) only between an explode and the hash aggregation that keeps the least of each sample;
+    both are in the stage that read the block, so none of them is shuffled. The first row of a text also brings the text's
+    own facts, as one more group of numbers, so that nothing has to be joined.
     """
-    spark = docs.sparkSession
-    blocks = blocks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    beside = with_next(docs, blocks)
+    beside = with_next(docs, blocks or blocks_of(docs))
     head, tail, gift = edited(F.col("text"), F.col("next_text"))
-    terms = beside.select("block", "row", F.explode_outer(runs(head, tail, gift)).alias("run"))
-    count = lambda mark: (F.length("run") - F.length(F.translate(F.col("run"), mark, ""))).cast("double")
-    weighed = terms.select(
-        "block", "row", F.xxhash64(F.translate(F.substring_index("run", " ", 1), HEAD + TAIL + GIFT, "")).alias("term"), count(HEAD).alias("h"), count(TAIL).alias("t"), count(GIFT).alias("g")
-    ).select(
-        "block", "row", "term",
-        F.when(F.col("h") + F.col("t") > 0, F.ln(F.col("h") + F.col("t"))).alias("ln_own"),
-        F.when(F.col("h") + F.col("g") > 0, F.ln(F.col("h") + F.col("g"))).alias("ln_other"),
-        F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"),
+    # the runs are a column of their own, in which parts that are used twice are worked out once
+    whole = beside.select("block", "row", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.concat(head, gift), 256).alias("sha"), runs(head, tail, gift).alias("runs"))
+    quarter = lambda i: F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint")
+    numbered = whole.select("block", "row", "doc_id", "n_chars", *[quarter(i).alias(c) for i, c in enumerate(_OWN)], "runs")
+    terms = numbered.select("block", "row", *_OWN, *_OTHER, F.posexplode_outer("runs").alias("pos", "run"))
+    # a run is the word with HEAD so many times, then with TAIL, then with GIFT: the places of the first of each say how often
+    place = lambda mark: F.instr("run", mark)
+    first = F.when(place(HEAD) > 0, place(HEAD)).when(place(TAIL) > 0, place(TAIL)).otherwise(place(GIFT)) - 1
+    placed = terms.select("*", place(TAIL).alias("b"), place(GIFT).alias("c"), first.alias("size"))
+    before = lambda at: F.floor((at - 1 - F.col("size")) / (F.col("size") + 2))
+    every = F.floor((F.length("run") + 1) / (F.col("size") + 2))
+    shared = placed.select(
+        "block", "row", *_OWN, *_OTHER, (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.xxhash64(F.substring("run", F.lit(1), F.col("size"))).alias("term"),
+        F.when(F.col("b") > 0, before(F.col("b"))).when(F.col("c") > 0, before(F.col("c"))).otherwise(every).alias("h"), F.when(F.col("c") > 0, before(F.col("c"))).otherwise(every).alias("n_own"), every.alias("n"),
     )
-    own, other = samples_of(F.col("k"), F.col("term"), F.col("ln_own"), F.col("ln_other"))
-    least = weighed.groupBy("block", "row", "k").agg(F.min(own).alias("own"), F.min(other).alias("other"))
-    packed = F.array_sort(F.collect_list(F.struct("k", "own", "other")))
-    signed = least.groupBy("block", "row").agg(packed.alias("s")).select("block", "row", F.col("s.own").alias("own"), F.col("s.other").alias("other"))
-    facts = beside.select("block", "row", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.concat(head, gift), 256).alias("edited_sha256"))
-    return facts.join(signed, ["block", "row"])
+    counted = shared.select("*", (F.col("h") + F.col("n") - F.col("n_own")).alias("n_other")).drop("h")
+    # a row for each different weight: of both versions, of the text alone, of the edited text alone
+    weight = lambda n, own, other: F.struct(n.alias("w"), F.lit(own).alias("own"), F.lit(other).alias("other"))
+    own, other = F.col("n_own"), F.col("n_other")
+    each = F.when(F.col("n").isNull(), F.array(weight(F.lit(0).cast("bigint"), False, False))).when(own == other, F.array(weight(own, True, True)))
+    each = each.when(other == 0, F.array(weight(own, True, False))).when(own == 0, F.array(weight(other, False, True))).otherwise(F.array(weight(own, True, False), weight(other, False, True)))
+    wide = max(len(_OWN), min(AT_ONCE, samples))
+    groups = F.sequence(F.when(F.col("first"), F.lit(FACTS)).otherwise(F.lit(0)), F.lit(-(-samples // wide) - 1))
+    weighed = counted.select("*", F.inline(each)).select("block", "row", "term", "own", "other", *_OWN, *_OTHER, F.ln(F.greatest("w", F.lit(1)).cast("double")).alias("ln_s"), F.explode(groups).alias("k"))
+    names = [f"{v}{i}" for v in ("own", "other") for i in range(wide)]
+    least = samples_of(weighed, wide).groupBy("block", "row", "k").agg(*[F.min(c).alias(c) for c in names])
+    part = lambda v: F.array(*[F.col(f"{v}{i}") for i in range(wide)]).alias(v)
+    packed = least.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct("k", part("own"), part("other")))).alias("s"))
+    joined = lambda v: F.slice(F.flatten(F.col(f"s.{v}")), wide + 1, samples).alias(v)
+    sha = F.concat(*[F.lower(F.lpad(F.hex(F.col("s")[0]["own"][i]), 16, "0")) for i in range(4)])
+    facts = [F.col("s")[0]["other"][i].alias(c) for i, c in enumerate(_OTHER)]
+    return packed.select("block", "row", *facts, sha.alias("edited_sha256"), joined("own"), joined("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -156,19 +201,16 @@ def as_text(signature: Column) -> Column:
 def with_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    near_next compares with the next row by doc_id; signatures are saved, and only they move to find it.
+    near_next compares with the next row by doc_id. Within a block that is the next row where it is; only the last rows of
+    blocks look for the first rows of others.
     """
-    got = saved(fingerprints(docs, samples))
-    n = got.groupBy("block").agg(F.max("row").alias("rows"))
-    blocks = n.agg(F.sort_array(F.collect_list("block"))).first()[0]  # a number for each block
-    after = {b: blocks[(i + 1) % len(blocks)] for i, b in enumerate(blocks)}
-    if not after:
-        after = {0: 0}
-    step = F.element_at(F.create_map(*[F.lit(x) for pair in after.items() for x in pair]), F.col("block"))
-    last = got.join(n, "block").select("block", "row", "doc_id", "n_chars", "edited_sha256", "own", "other", (F.col("row") == F.col("rows")).alias("last"))
-    left = last.select("*", F.when(F.col("last"), step).otherwise(F.col("block")).alias("nb"), F.when(F.col("last"), 1).otherwise(F.col("row") + 1).alias("nr"))
-    right = got.select(F.col("block").alias("nb"), F.col("row").alias("nr"), F.col("own").alias("next_own"))
-    return left.join(right, ["nb", "nr"]).select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
-    )
+    beside = F.lead("own").over(Window.partitionBy("block").orderBy("row"))
+    got = saved(fingerprints(docs, samples).withColumn("next_own", beside).withColumn("near_next", likeness(F.col("own"), F.col("next_own"))).withColumn("last", F.col("next_own").isNull()).drop("next_own"))
+    first = got.filter("row = 1").select("block", F.col("own").alias("next_own"))
+    blocks = [r.block for r in first.select("block").orderBy("block").collect()]  # a number for each block
+    after = docs.sparkSession.createDataFrame([(b, blocks[(i + 1) % len(blocks)]) for i, b in enumerate(blocks)], "block int, next_block int")
+    last = got.filter("last").join(sized(after), "block").join(sized(first.withColumnRenamed("block", "next_block"), 2000), "next_block")
+    rows = got.filter("not last").unionByName(last.withColumn("near_next", likeness(F.col("own"), F.col("next_own"))).select(got.columns))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), "near_next"
+    )
