@@ -23,7 +23,7 @@ from pagemill.llm.decontam import words_of
 BUCKETS, DIM, WIDTHS, FILTERS, STEMS = 1 << 15, 16, (1, 2, 3), 8, (4, 5, 6, 7)
 #: Bound of the labelled sample, in documents (twice that may be read).
 SAMPLE_DOCS = 6_000
-#: One in so many labelled rows is kept for the thresholds.
+#: One in so many labelled rows is kept apart to find the thresholds.
 CALIBRATED = 5
 EPOCHS, BATCH, RATE = 5, 32, 0.01
 THRESHOLD = 0.3
@@ -197,15 +197,18 @@ def calibrate(scores: np.ndarray, y: np.ndarray, langs: list[str | None]) -> dic
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Net:
-    """The net trained on labelled rows for which ``usable`` holds; thresholds by language come from every CALIBRATED-th of
-    them, which it is not trained on.
+    """The net trained on labelled rows for which ``usable`` holds. Its thresholds by language are those of a net that was
+    trained without every CALIBRATED-th of them, on just these.
     """
     rows = labelled_sample(docs, labels, "toxic", usable, sample_docs)
     apart = [zlib.crc32(f"calibrated {r.doc_id}".encode()) % CALIBRATED == 0 for r in rows]
     learnt, kept = ([r for r, a in zip(rows, apart, strict=True) if a == side] for side in (False, True))
-    net = train([r.text for r in learnt], [r.y for r in learnt])
+    thresholds: dict[str, float] = {}
     if kept:
-        net.thresholds = calibrate(Scorer(net).scores([r.text for r in kept]), np.array([r.y for r in kept]), [r.lang for r in kept])
+        other = train([r.text for r in learnt], [r.y for r in learnt])
+        thresholds = calibrate(Scorer(other).scores([r.text for r in kept]), np.array([r.y for r in kept]), [r.lang for r in kept])
+    net = train([r.text for r in rows], [r.y for r in rows])
+    net.thresholds = thresholds
     return net
 
 
