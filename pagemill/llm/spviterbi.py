@@ -5,13 +5,15 @@ one, that is not the encoding of the library, which merges by rank (figures in t
 ``longest piece`` characters. Once all surviving back-pointer paths of the window pass through one boundary, nothing to
 come can change what lies before it: its ids are committed and the window moves up. Where no piece of the vocabulary
 spans a boundary (before a word mark that follows something else; around characters that no longer piece holds) all
-paths meet for certain, so the text is cut there first and the ids of each stretch are remembered, up to a bound.
+paths meet for certain, so stretches between such boundaries that have not been met before are streamed one after the
+other through one search, and the ids of each are remembered, up to a bound.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import map_batches
+
 MARK = "▁"
 UNK_PENALTY = 10.0
 #: Stretches remembered by a process; beyond it they are forgotten and the memory starts anew.
@@ -59,11 +63,17 @@ class Vocabulary:
         self.unk_score = min(s for _, s in self.pieces.values()) - UNK_PENALTY
         self.cut_at_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
         self.cut_at_newlines = not any("\n" in p for p in self.pieces if len(p) > 1)
-        #: lengths of the pieces that start with each character
-        sizes: dict[str, set[int]] = {}
-        for p in self.pieces:
-            sizes.setdefault(p[0], set()).add(len(p))
-        self.sizes = {c: tuple(sorted(v)) for c, v in sizes.items()}
+        #: a character that no longer piece holds, so that all paths meet before and after it
+        inside = {c for p in self.pieces if len(p) > 1 for c in p}
+        self.divider = next(c for c in map(chr, range(0x110000)) if c not in inside)
+        #: the pieces by their characters: what follows (none at the end of a branch), id (-1: no piece ends here) and score
+        self.tree: dict[str, list] = {}
+        for piece, found in self.pieces.items():
+            kids = self.tree
+            for c in piece[:-1]:
+                node = kids.setdefault(c, [None, -1, 0.0])
+                node[0] = kids = {} if node[0] is None else node[0]
+            kids.setdefault(piece[-1], [None, -1, 0.0])[1:] = found
 
     def unknown(self, char: str) -> list[int]:
         ids = [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -80,42 +90,47 @@ def stream(chunks: Iterable[str], v: Vocabulary) -> Iterator[list[int]]:
 
     Ties: the longer last piece wins, as in the library. Characters in no piece become their UTF-8 byte pieces.
     """
-    text = ""  # from the last committed boundary on
+    return (ids for ids, _ in search(chunks, v))
+
+
+def search(chunks: Iterable[str], v: Vocabulary) -> Iterator[tuple[list[int], list[int]]]:
+    """The ids of :func:`stream` and, for each, where its piece ends in all that has been sent."""
+    text, gone = "", 0  # from the last committed boundary on, and what came before it
     score, back, piece = [0.0], [0], [-1]  # by end: best score, start of its last piece, id (-1: unknown)
     todo = 0  # the next start whose pieces are laid out
+    tree, unk, most, none = v.tree, v.unk_score, v.longest, -np.inf
 
-    def trace(end: int) -> list[int]:
-        out: list[list[int]] = []
+    def trace(end: int) -> tuple[list[int], list[int]]:
+        ids, ends = [], []
         while end:
-            out.append([piece[end]] if piece[end] >= 0 else v.unknown(text[back[end] : end]))
+            own = [piece[end]] if piece[end] >= 0 else v.unknown(text[back[end] : end])[::-1]
+            ids += own
+            ends += [gone + end] * len(own)
             end = back[end]
-        return [i for ids in reversed(out) for i in ids]
+        return ids[::-1], ends[::-1]
 
-    def lay(last: bool) -> None:
-        nonlocal todo
+    def lay(stop: int) -> None:
         size = len(text)
-        while len(score) < size + 1:
-            score.append(-np.inf)
-            back.append(0)
-            piece.append(-1)
-        stop = size if last else size - v.longest + 1
-        while todo < stop:
-            here, known = score[todo], False
-            for n in v.sizes.get(text[todo], ()):
-                if todo + n > size:
+        more = size + 1 - len(score)
+        score.extend([none] * more)
+        back.extend([0] * more)
+        piece.extend([-1] * more)
+        for start in range(todo, stop):
+            here, at, node = score[start], start + 1, tree.get(text[start])
+            if (node is None or node[1] < 0) and here + unk > score[at]:
+                score[at], back[at], piece[at] = here + unk, start, -1
+            while node is not None:
+                kids, own, more = node
+                if own >= 0 and here + more > score[at]:
+                    score[at], back[at], piece[at] = here + more, start, own
+                if kids is None or at == size:
                     break
-                got = v.pieces.get(text[todo : todo + n])
-                if got is not None:
-                    known |= n == 1
-                    if here + got[1] > score[todo + n]:
-                        score[todo + n], back[todo + n], piece[todo + n] = here + got[1], todo, got[0]
-            if not known and here + v.unk_score > score[todo + 1]:
-                score[todo + 1], back[todo + 1], piece[todo + 1] = here + v.unk_score, todo, -1
-            todo += 1
+                node = kids.get(text[at])
+                at += 1
 
     def converged() -> int:
         """The last boundary on all paths that reach the ends still open: todo and those laid out beyond it."""
-        ends = {e for e in range(todo, len(score)) if score[e] > -np.inf}
+        ends = {e for e in range(todo, len(score)) if score[e] > none}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
@@ -123,125 +138,32 @@ def stream(chunks: Iterable[str], v: Vocabulary) -> Iterator[list[int]]:
         return ends.pop()
 
     for chunk in chunks:
-        for at in range(0, len(chunk), 4 * v.longest):
-            text += chunk[at : at + 4 * v.longest]
-            lay(False)
-            if todo >= 2 * v.longest and (at_ := converged()) > 0:
+        for at in range(0, len(chunk), 4 * most):
+            text += chunk[at : at + 4 * most]
+            if len(text) - most + 1 > todo:
+                lay(len(text) - most + 1)
+                todo = len(text) - most + 1
+            if todo >= 2 * most and (at_ := converged()) > 0:
                 yield trace(at_)
                 base = score[at_]
                 score, back, piece = [s - base for s in score[at_:]], [max(0, b - at_) for b in back[at_:]], piece[at_:]
-                text, todo = text[at_:], todo - at_
+                text, todo, gone = text[at_:], todo - at_, gone + at_
                 back[0], piece[0] = 0, -1
-    lay(True)
+    lay(len(text))
     if text:
         yield trace(len(text))
 
 
-class Together:
-    """The same search over many short stretches at once: one start of the window for all of them, then the next.
-
-    The pieces are a trie whose edges (node, character) are in a hash table; edges that share a slot are in a second,
-    sorted one. From each start all stretches walk down together, and those without a further edge drop out.
-    """
-
-    SLOTS = 20
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-        edges: dict[int, int] = {}
-        ids, scores = [-1], [0.0]
-        for name, (i, score) in v.pieces.items():
-            node = 0
-            for c in name:
-                key = node << 21 | ord(c)
-                if key not in edges:
-                    edges[key] = len(ids)
-                    ids.append(-1)
-                    scores.append(0.0)
-                node = edges[key]
-            ids[node], scores[node] = i, score
-        self.ids, self.scores = np.array(ids, np.int32), np.array(scores)
-        keys, to = np.array(list(edges), np.uint64), np.array(list(edges.values()), np.int64)
-        slot = self._slot(keys)
-        _, first = np.unique(slot, return_index=True)
-        self.slot_key = np.full(1 << self.SLOTS, ~np.uint64(0))
-        self.slot_to = np.zeros(1 << self.SLOTS, np.int64)
-        self.slot_key[slot[first]], self.slot_to[slot[first]] = keys[first], to[first]
-        rest = np.setdiff1d(np.arange(len(keys)), first)
-        rest = rest[np.argsort(keys[rest])]
-        self.rest_key, self.rest_to = np.append(keys[rest], ~np.uint64(0)), np.append(to[rest], 0)
-        self.crowded = np.zeros(1 << self.SLOTS, bool)
-        self.crowded[slot[rest]] = True
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-
-    def _down(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        """The nodes below, 0 where there is none."""
-        key = (node.astype(np.uint64) << np.uint64(21)) | char
-        slot = self._slot(key)
-        to = np.where(self.slot_key[slot] == key, self.slot_to[slot], 0)
-        odd = np.flatnonzero((to == 0) & self.crowded[slot])
-        if len(odd):
-            at = np.searchsorted(self.rest_key, key[odd])
-            to[odd] = np.where(self.rest_key[at] == key[odd], self.rest_to[at], 0)
-        return to
-
-    def ids_of(self, stretches: list[str]) -> list[bytes]:
-        """Ids of each of ``stretches``, which are alike in length; ties as in :func:`stream`."""
-        m, size = len(stretches), max(map(len, stretches))
-        length = np.fromiter(map(len, stretches), np.int64, m)
-        flat = "".join(s.ljust(size, "\x00") for s in stretches).encode("utf-32-le", "surrogatepass")
-        chars = np.ascontiguousarray(np.frombuffer(flat, "<u4").reshape(m, size).T).astype(np.uint64)
-        best = np.full((size + 1, m), -np.inf)
-        best[0] = 0
-        back, piece = np.zeros((size + 1, m), np.int32), np.full((size + 1, m), -1, np.int32)
-        every = np.arange(m)
-        for i in range(size):
-            rows, node = every[length > i], None
-            for n in range(1, min(self.v.longest, size - i) + 1):
-                to = self._down(np.zeros(len(rows), np.int64) if node is None else node, chars[i + n - 1][rows])
-                ends = np.flatnonzero((to > 0) & (self.ids[to] >= 0))
-                if n == 1:
-                    other = np.ones(m, bool)
-                    other[rows[ends]] = False
-                r, t = rows[ends], to[ends]
-                total = best[i][r] + self.scores[t]
-                up = total > best[i + n][r]
-                r, t = r[up], t[up]
-                best[i + n][r], back[i + n][r], piece[i + n][r] = total[up], i, self.ids[t]
-                live = to > 0
-                rows, node = rows[live], to[live]
-                if not len(rows):
-                    break
-            r = np.flatnonzero(other & (length > i))
-            r = r[best[i][r] + self.v.unk_score > best[i + 1][r]]
-            best[i + 1][r], back[i + 1][r], piece[i + 1][r] = best[i][r] + self.v.unk_score, i, -1
-        end, took, odd = length.copy(), [], np.zeros(m, bool)
-        while end.any():
-            p = piece[end, every]
-            odd |= (end > 0) & (p < 0)
-            took.append(np.where(end > 0, p, -1))
-            end = np.where(end > 0, back[end, every], 0)
-        table = np.array(took[::-1], np.int32).T
-        kept = (table >= 0).sum(1)
-        flat_ids, width = table.astype("<u2").tobytes(), 2 * table.shape[1]
-        out = [flat_ids[width * (i + 1) - 2 * k : width * (i + 1)] for i, k in enumerate(kept.tolist())]
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = np.array([x for part in stream([stretches[i]], self.v) for x in part], "<u2").tobytes()
-        return out
-
-
 class Encoder:
-    """Encodes and decodes whole texts; remembers the ids of short stretches between certain boundaries."""
+    """Encodes and decodes whole texts; remembers the ids of stretches between certain boundaries."""
 
+    #: Characters up to which a stretch is remembered.
     SHORT = 48
 
     def __init__(self, model_file: str):
         self.v = vocabulary(model_file)
         self.known: dict[str, bytes] = {"": b""}
         self.cuts = re.compile(f"(?<=[^{MARK}])(?={MARK})" + ("|(?<=\n)|(?=\n)" if self.v.cut_at_newlines else ""))
-        self.together = Together(self.v)
 
     def _parts(self, text: str) -> list[str]:
         marked = MARK + text.replace(" ", MARK)
@@ -253,13 +175,24 @@ class Encoder:
         return (marked.replace("\n", "\x00\n\x00") if self.v.cut_at_newlines else marked).replace(MARK, "\x00" + MARK).split("\x00")
 
     def _learn(self, new: set[str]) -> None:
-        short = sorted((p for p in new if len(p) <= self.SHORT), key=lambda p: (len(p), p))
-        for at in range(0, len(short), 8192):
-            cut = short[at : at + 8192]
-            self.known.update(zip(cut, self.together.ids_of(cut), strict=True))
-        for p in new:
-            if len(p) > self.SHORT:
-                self.known[p] = np.array([i for part in stream([p], self.v) for i in part], "<u2").tobytes()
+        """Streams the stretches one after the other, each with a character behind it that no longer piece holds."""
+        sent = list(new)
+        todo = iter(sent)
+        stretch, end, ids = None, 0, []  # whose ids come next, and where it ends
+        chunks = ("".join([s + self.v.divider for s in sent[at : at + 256]]) for at in range(0, len(sent), 256))
+        for found, ends in search(chunks, self.v):
+            at = 0
+            while at < len(found):
+                if stretch is None:
+                    stretch = next(todo)
+                    end += len(stretch)
+                upto = bisect_right(ends, end, at)
+                ids += found[at:upto]
+                at = upto
+                if at < len(found):  # the divider's ids
+                    self.known[stretch] = np.array(ids, "<u2").tobytes()
+                    stretch, end, ids = None, end + 1, []
+                    at = bisect_right(ends, end, at)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers; null and empty texts have none."""
@@ -320,4 +253,4 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
             same = pa.array([enc.decode(c) == (t or "") for c, t in zip(coded, texts, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), ids, crc, same], names=["doc_id", "n_ids", "ids", "ids_crc32", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_ids bigint, ids array<int>, ids_crc32 bigint, decoded boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, n_ids bigint, ids array<int>, ids_crc32 bigint, decoded boolean")

@@ -5,7 +5,7 @@ give equal chunks wherever they stand. The store is a folder of three Parquet ta
 
 - ``chunks``: every different chunk once, under the hash of its bytes (ids as little-endian integers of ``width`` bytes);
 - ``recipes``: by ascending doc_id, in blocks: a document's chunk hashes and sizes, its place in the block, and the hash
-  of all that (a Merkle leaf);
+  of all that (a Merkle leaf), with the number of ids after each chunk;
 - ``manifest``: of each block its documents, ids and Merkle root;
 - ``root``: documents, ids and the Merkle root over all blocks.
 
@@ -105,8 +105,8 @@ class Encoder:
         found = [self._of_model("Ġ" + w if w.isascii() else "Ġ" + w.encode().decode("latin-1").translate(self.BYTES)) for w in letters]
         found += [list(chain.from_iterable(map(self.pieces.__getitem__, ps))) for ps in cut]
         found += self._by_line([w[1:] if w[0] == "\x00" else " " + w for w in others])
-        for w in (*letters, *plain, *others):
-            self.known[w] = len(self.known)
+        n = len(self.known)
+        self.known.update(zip(chain(letters, plain, others), range(n, n + len(new)), strict=True))
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), f"<u{WIDTH}")))
         self.size = np.concatenate((self.size, np.fromiter(map(len, found), np.int32, len(found))))
         self.start = np.cumsum(self.size, dtype=np.int64) - self.size
@@ -332,10 +332,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     block, at, start, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
-    names = ["block", "at", "doc_id", "start", "n_tokens", "hashes", "sizes", "leaf"]
+    names = ["block", "at", "doc_id", "start", "n_tokens", "hashes", "sizes", "after", "leaf"]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     for b in batches:
@@ -343,12 +343,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, n, hashes, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
             leaf = leaf_of(doc_id, start, hashes, sizes)
             tree.add(leaf)
-            rows.append((block, at, doc_id, start, n, hashes, sizes, leaf))
+            rows.append((block, at, doc_id, start, n, hashes, sizes, n - np.cumsum(sizes, dtype=np.int64), leaf))
             at, start = at + 1, start + n
         if rows:
             yield batch(rows)
     if at:
-        yield batch([(block, -1, None, at, start, [], [], tree.root())])
+        yield batch([(block, -1, None, at, start, [], [], [], tree.root())])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, blocks: int | None = None) -> Store:
@@ -366,7 +366,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, blocks: int
     staged.select(F.inline("bodies")).dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     n = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-staged.count() // BLOCK_DOCS))
     ordered = staged.select("doc_id", "n_tokens", "hashes", "sizes").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("hashes").cast("array<string>"))
-    schema = "block bigint, at bigint, doc_id bigint, start bigint, n_tokens bigint, hashes array<binary>, sizes array<int>, leaf binary"
+    schema = "block bigint, at bigint, doc_id bigint, start bigint, n_tokens bigint, hashes array<binary>, sizes array<int>, after array<bigint>, leaf binary"
     map_batches(ordered, _blocks, schema).write.parquet(f"{path}/recipes")
     rows = spark.read.parquet(f"{path}/recipes").filter("at = -1")
     rows.select("block", F.col("start").alias("n_docs"), "n_tokens", F.col("leaf").alias("root")).coalesce(1).write.parquet(f"{path}/manifest")
@@ -410,6 +410,7 @@ def check_blocks(store: Store, spark: SparkSession) -> DataFrame:
                     root = (r["leaf"], r["start"], r["n_tokens"])
                     continue
                 good &= leaf_of(r["doc_id"], r["start"], r["hashes"], r["sizes"]) == r["leaf"] and r["at"] == docs and r["start"] == ids and sum(r["sizes"]) == r["n_tokens"]
+                good &= r["after"] == (r["n_tokens"] - np.cumsum(r["sizes"], dtype=np.int64)).tolist()
                 tree.add(r["leaf"])
                 docs, ids = docs + 1, ids + r["n_tokens"]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([good and root == (tree.root(), docs, ids)], pa.bool_())], names=["block", "sound"])
@@ -459,9 +460,7 @@ def documents(store: Store, spark: SparkSession) -> DataFrame:
         total += m.n_tokens
     recipes = store.table(spark, "recipes").filter("at >= 0")
     facts = saved(map_batches(store.table(spark, "chunks").select("hash", "ids"), _verified, "hash binary, n bigint, crc bigint"))
-    refs = recipes.select("block", "at", F.posexplode("hashes").alias("pos", "hash"), "sizes", "n_tokens")
-    after = F.aggregate(F.slice("sizes", F.lit(1), F.col("pos") + 1), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    refs = refs.select("block", "at", "hash", (F.col("n_tokens") - after).alias("after"))
+    refs = recipes.select("block", "at", F.posexplode("hashes").alias("pos", "hash"), "after").select("block", "at", "hash", F.get("after", F.col("pos")).alias("after"))
     parts = refs.join(facts, "hash", "left").select("block", "at", "after", F.coalesce("n", F.raise_error(F.lit("a chunk is missing")).cast("bigint")).alias("n"), "crc")
     whole = map_batches(parts, _moved, "block bigint, at bigint, n bigint, crc bigint").groupBy("block", "at").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     found = recipes.select("block", "at", "doc_id", F.col("start").alias("in_block")).join(whole, ["block", "at"])
