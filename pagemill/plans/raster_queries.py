@@ -250,6 +250,19 @@ for _n, _reach in ((4, 0), (8, 1)):
         return C.components(span_rows(spark, d), n)
 
 
+_ROI = (8, 6, 40, 30)
+_IN_ROI = (
+    f"spans AS (SELECT image_id, \"row\", greatest(col_start, {_ROI[0]}) AS col_start, least(col_end, {_ROI[2]}) AS col_end FROM all_spans"
+    f" WHERE \"row\" >= {_ROI[1]} AND \"row\" < {_ROI[3]} AND col_start < {_ROI[2]} AND col_end > {_ROI[0]})"
+)
+
+
+@query("components_roi", _with("SELECT * FROM labelled", PIXELS, SPANS.replace("spans AS", "all_spans AS", 1), _IN_ROI, _parts(), recursive=True))
+def components_roi(spark, d):
+    """Parts of what is inside a region; spans are cut at its edges."""
+    return C.components(span_rows(spark, d), 4, _ROI)
+
+
 @query("component_stats", _with("SELECT image_id, count(*) AS parts, CAST(sum(pixel_count) AS BIGINT) AS ink, max(pixel_count) AS largest FROM labelled GROUP BY image_id", PIXELS, SPANS, _parts(), recursive=True))
 def component_stats(spark, d):
     return C.components(span_rows(spark, d)).groupBy("image_id").agg(F.count("*").alias("parts"), F.sum("pixel_count").alias("ink"), F.max("pixel_count").alias("largest"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import jobs as J
 from pagemill.schema import JOB, JOB_COLUMNS
+from pagemill.sources import job_tables
 from pagemill.sources.shared import stored
 
 SCHEMA_VERSION = 7
@@ -213,8 +214,12 @@ def safe_name(job_id: str) -> str:
 
 
 def open_store(spark: SparkSession):
-    """The store that the session's settings ask for: ``pagemill.store.path`` (snapshots), else ``pagemill.store.text`` (a folder of files, read only)."""
-    path, text = spark.conf.get("pagemill.store.path", None), spark.conf.get("pagemill.store.text", None)
+    """The store that the session's settings ask for: ``pagemill.store.path`` (snapshots), else the jobs, read only, of
+    ``pagemill.store.jdbc`` (the address of a database), else of ``pagemill.store.text`` (a folder of files), else none.
+    """
+    path, url, text = (spark.conf.get(f"pagemill.store.{k}", None) for k in ("path", "jdbc", "text"))
     if path:
         return SnapshotStore(spark, path)
+    if url:
+        return job_tables.read_jdbc(spark, url)
     return read_text(spark, text) if text else spark.createDataFrame([], JOB)

@@ -209,3 +209,23 @@ def test_database_tables(spark, tmp_path):
     assert sorted(T.read_jdbc(spark, url, **options).collect()) == sorted(jobs.collect())
     assert [r.id for r in T.read_jdbc(spark, url, "completed", pushDownPredicate="false", **options).collect()] == ["j1"]
     assert [r.id for r in T.in_created_order(T.read_jdbc(spark, url, **options)).collect()] == ["j0", "j1"]
+
+
+def test_the_store_that_is_asked_for(spark, tmp_path):
+    from pagemill.sources import job_tables as T
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    T.write_jdbc(frame(spark, job(0)), url, "overwrite", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    (tmp_path / "1.job").write_text(S.job_text(job(1)))
+    asked = {"text": str(tmp_path), "jdbc": url, "path": str(tmp_path / "s")}
+    try:
+        assert S.open_store(spark).count() == 0
+        spark.conf.set("pagemill.store.text", asked["text"])
+        assert [r.id for r in S.open_store(spark).collect()] == ["j1"]
+        spark.conf.set("pagemill.store.jdbc", asked["jdbc"])
+        assert [r.id for r in S.open_store(spark).collect()] == ["j0"]
+        spark.conf.set("pagemill.store.path", asked["path"])
+        assert S.open_store(spark).version() == 0
+    finally:
+        for k in asked:
+            spark.conf.unset(f"pagemill.store.{k}")
