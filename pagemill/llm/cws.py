@@ -23,7 +23,7 @@ SAMPLES = 64
 #: Samples that are worked out in one row; with more the generated code is too long to be compiled to machine code.
 AT_ONCE = 4
 #: Documents of a block, and the most blocks; blocks beyond that are larger, and their sort spills.
-BLOCK_ROWS, MOST_BLOCKS = 4096, 16_384
+BLOCK_ROWS, MOST_BLOCKS = 1024, 16_384
 #: Marks that say which part a word is of; in texts they count as spaces.
 HEAD, TAIL, GIFT = "\x01", "\x02", "\x03"
 _LOW = 1 << 24
