@@ -37,7 +37,7 @@ BLOCK_DOCS = 50_000
 #: Characters that are encoded together, about.
 TOGETHER = 12_000_000
 #: Words remembered by a process; beyond it they are forgotten.
-REMEMBERED = 900_000
+REMEMBERED = 1_500_000
 
 
 def default_tokenizer() -> str:
@@ -59,6 +59,7 @@ class Encoder:
     STOPS = re.compile(r"[.,](?<=[\W_].)")
     #: what keeps a text from being cut: white space in a row, other white space, the memory's mark, special tokens
     ODD = ("  ", "\n\n", " \n", "\n ", "\x00", "<|", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+    ODD_ASCII = tuple(c for c in ODD if c.isascii())
 
     #: how the pre-tokenizer cuts a printable ASCII word and the space before it
     PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
@@ -131,7 +132,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         at, size, lines = [], 0, []
         for i, text in enumerate(texts):
-            if text and (text[0] in " \n" or text[-1] in " \n" or any(c in text for c in self.ODD)):
+            if text and (text[0] in " \n" or text[-1] in " \n" or any([c in text for c in (self.ODD_ASCII if text.isascii() else self.ODD)])):
                 out[i] = self._ids([text])[0].tobytes()
             elif text:
                 at.append(i)
@@ -153,10 +154,12 @@ class Encoder:
         words = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.known]
+        number = [self.known.get(w, -1) for w in words]
+        new = [w for w, k in zip(words, number, strict=True) if k < 0]
         if new:
             self._learn(new)
-        word = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+            number = map(self.known.__getitem__, words)
+        word = np.fromiter(number, np.int32, len(words))[coded.indices.to_numpy()]
         size = self.size[word]
         ends = np.cumsum(size, dtype=np.int64)
         place = np.repeat((self.start[word] - (ends - size)).astype(np.int32), size)
