@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,19 +110,26 @@ def scale_nearest(pixels: DataFrame, width: int, height: int, to_w: int, to_h: i
     return places.withColumns({"sx": at("x", width, to_w), "sy": at("y", height, to_h)}).join(src, ["image_id", "sx", "sy"]).select(*KEY, "v")
 
 
+def _sent(size: int, to: int, weight: str) -> Column:
+    """For each place of a side of ``size`` the places of a side of ``to`` that it is a corner of, each with its weight."""
+    places: list[list[dict]] = [[] for _ in range(size)]
+    for at in range(to):
+        f = at * ((size - 1) / max(to - 1, 1))
+        low = math.floor(f)
+        places[low].append({"to": at, weight: 1 - (f - low)})
+        places[min(low + 1, size - 1)].append({"to": at, weight: f - low})
+    return F.from_json(F.lit(json.dumps(places)), f"array<array<struct<to:int,{weight}:double>>>")
+
+
 def scale_bilinear(pixels: DataFrame, width: int, height: int, to_w: int, to_h: int) -> DataFrame:
-    """Each place has up to four weighted corners: one join and one sum, not four joins."""
-    places = grid(pixels.select("image_id").distinct(), to_w, to_h)
-    fx, fy = F.col("x") * ((width - 1) / max(to_w - 1, 1)), F.col("y") * ((height - 1) / max(to_h - 1, 1))
-    p = places.withColumns({"fx": fx, "fy": fy}).withColumns({"x0": F.floor("fx").cast("int"), "y0": F.floor("fy").cast("int")})
-    wx, wy = F.col("fx") - F.col("x0"), F.col("fy") - F.col("y0")
-    x1, y1 = F.least(F.col("x0") + 1, F.lit(width - 1)), F.least(F.col("y0") + 1, F.lit(height - 1))
-    corner = lambda k, x, y, w: F.struct(F.lit(k).alias("k"), x.alias("sx"), y.alias("sy"), w.alias("w"))
-    corners = F.array(corner(0, F.col("x0"), F.col("y0"), (1 - wx) * (1 - wy)), corner(1, x1, F.col("y0"), wx * (1 - wy)), corner(2, F.col("x0"), y1, (1 - wx) * wy), corner(3, x1, y1, wx * wy))
-    src = pixels.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "v")
-    parts = p.select(*KEY, F.inline(corners)).join(src, ["image_id", "sx", "sy"])
+    """Every pixel is sent to the places that it is one of the four weighted corners of and summed there: no join, one sum.
+
+    Pixels without a page or outside it are left out.
+    """
+    across = pixels.filter("image_id is not null").select("image_id", "y", "v", F.inline(F.get(_sent(width, to_w, "wx"), F.col("x")))).withColumnRenamed("to", "to_x")
+    parts = across.select("image_id", F.col("to_x").alias("x"), "wx", "v", F.inline(F.get(_sent(height, to_h, "wy"), F.col("y")))).withColumnRenamed("to", "y")
     # summed in tenths of a millionth, so that the order of the corners makes no difference
-    total = F.sum(F.round(F.col("w") * F.col("v") * 1e7).cast("bigint"))
+    total = F.sum(F.round(F.col("wx") * F.col("wy") * F.col("v") * 1e7).cast("bigint"))
     return parts.groupBy(*KEY).agg(F.floor((total + 5_000_000) / 1e7).cast("int").alias("v"))
 
 

@@ -29,6 +29,22 @@ def test_query_equals_its_sql(spark, con, name):
     assert _rows(got, sorted(got.columns)) == _rows(said, sorted(got.columns))
 
 
+def test_scale_bilinear_joins_nothing(spark):
+    """A join here is planned by the size of the file, which says little of the pixels in it: they were broadcast."""
+    got = entry.queries()["scale_bilinear"](spark, D)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scale_bilinear_of_holes(spark):
+    """Corners that are missing, null, outside or of no page add nothing; a place without any corner is no row, corners of weight 0 count."""
+    from pagemill.operators import pixels as R
+
+    page = [(1, 0, 0, 100), (1, 1, 0, None), (1, 2, 0, 50), (1, 7, 0, 9), (1, -1, 0, 9), (None, 0, 0, 80), (2, 1, 1, 40)]
+    got = R.scale_bilinear(spark.createDataFrame(page, "image_id bigint, x int, y int, v int"), 3, 2, 5, 2)
+    said = [(1, 0, 0, 100), (1, 1, 0, 50), (1, 2, 0, 0), (1, 3, 0, 25), (1, 4, 0, 50), (2, 0, 0, 0), (2, 0, 1, 0), (2, 1, 0, 0), (2, 1, 1, 20), (2, 2, 0, 0), (2, 2, 1, 40), (2, 3, 0, 0), (2, 3, 1, 20)]
+    assert sorted(map(tuple, got.filter("v is not null").collect())) == said
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
