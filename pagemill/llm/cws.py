@@ -9,10 +9,20 @@ weights. A sample is kept as 64 bits: 40 of a, so that a minimum finds it, and 2
 A text is cut at the words both versions of it share; runs of equal words come from a sorted array, so no row of a word is
 shuffled. Only whole rows are, once, to put documents beside their successors. A word that both versions have equally often
 is one row, and each row carries several samples, so what a term costs is mostly the arithmetic of its samples.
+
+Few terms are the least of a sample, and a bound on a tells most others without a logarithm: c = -ln x >= 1 - x. The least a
+of n words is exponentially distributed with rate n, so a term with a bound above SURE / n is as good as never the least; it
+leaves before the aggregation. Every sample is then held to that limit: below it, the least of what is left is the least of
+all. Should a sample of any text not be below, all are worked out again without limits.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +32,8 @@ from pagemill.llm.common import saved, sized
 SAMPLES = 64
 #: Samples that are worked out in one row; with more the generated code is too long to be compiled to machine code.
 AT_ONCE = 4
+#: The chance that a text has a sample that its limit leaves open is below 128 e^-SURE, 1e-10.
+SURE = 28.0
 #: Documents of a block, and the most blocks; blocks beyond that are larger, and their sort spills.
 BLOCK_ROWS, MOST_BLOCKS = 1024, 16_384
 #: Marks that say which part a word is of; in texts they count as spaces.
@@ -107,33 +119,41 @@ FACTS = -1
 
 
 def samples_of(rows: DataFrame, wide: int) -> DataFrame:
-    """``rows`` (block, row, term, own, other, ln_s, k, facts) with ``wide`` samples from k * wide on, as 64 bits each: of
-    terms of the text in own0, own1, ..., of the edited text in other0, other1, ...
+    """``rows`` (block, row, term, own, other, ln_s, below, k, facts) with ``wide`` samples from k * wide on, as 64 bits each:
+    of terms of the text in own0, own1, ..., of the edited text in other0, other1, ... Samples are null where a is certain to
+    be ``below`` / S or more, and rows of which all are go.
 
     r = -ln u1 - ln u2 is Gamma(2, 1), and b = ln u2 / (ln u1 + ln u2) is uniform and independent of it. With these
-    ln S / r + b = (ln S - ln u2) / r and a = c u1 (u1 u2)^t, and t = 0 at weight 1: most terms need c and u1 only.
+    ln S / r + b = (ln S - ln u2) / r and a = c u1 (u1 u2)^t, and t = 0 at weight 1: most terms need c and u1 only. As
+    (u1 u2)^t >= u2 / S and c = -ln x >= 1 - x, a is at least (1 - x) u1 u2 / S, and (1 - x) u1 at weight 1.
     """
     number = lambda i: F.col("k") * wide + i
-    one = lambda i: F.xxhash64("term", number(i))
-    u1, u2 = (lambda i: _uniform(one(i), 0)), (lambda i: _uniform(F.xxhash64("term", number(i), F.lit(1)), 0))
-    steps = lambda i: F.when(F.col("ln_s") > 0, F.floor((F.col("ln_s") - F.ln(u2(i))) / -F.ln(u1(i) * u2(i)))).otherwise(F.lit(0).cast("bigint"))
-    with_t = rows.select("*", *[steps(i).alias(f"t{i}") for i in range(wide)])
+    each = range(wide)
+    u1, u2, x = (lambda i: F.col(f"u{i}")), (lambda i: _uniform(F.xxhash64("term", number(i), F.lit(1)), 0)), (lambda i: F.col(f"x{i}"))
+    # the partition's number makes no difference, but the optimiser does not write hashes out again in the filter then
+    hashed = rows.select("*", *[F.xxhash64("term", number(i)).bitwiseXOR(F.spark_partition_id().bitwiseAND(F.lit(0)).cast("bigint")).alias(f"h{i}") for i in each])
+    drawn = hashed.select(*rows.columns, *[_uniform(F.col(f"h{i}"), 0).alias(f"u{i}") for i in each], *[(_uniform(F.col(f"h{i}"), 21) * _uniform(F.col(f"h{i}"), 42)).alias(f"x{i}") for i in each])
+    bound = lambda i: (F.lit(1.0) - x(i)) * u1(i)
+    near = lambda i: F.when(F.col("ln_s") > 0, bound(i) * u2(i)).otherwise(bound(i)) < F.col("below")
+    some = drawn.select("*", *[near(i).alias(f"near{i}") for i in each]).filter(reduce(or_, [F.col(f"near{i}") for i in each], F.col("k") == FACTS))
+    steps = lambda i: F.when((F.col("ln_s") > 0) & F.col(f"near{i}"), F.floor((F.col("ln_s") - F.ln(u2(i))) / -F.ln(u1(i) * u2(i)))).otherwise(F.lit(0).cast("bigint"))
+    with_t = some.select("*", *[steps(i).alias(f"t{i}") for i in each])
 
     def bits(i: int) -> Column:
         t = F.col(f"t{i}")
-        c = -F.ln(_uniform(one(i), 21) * _uniform(one(i), 42))
-        a = c * u1(i) * F.when(t > 0, F.pow(u1(i) * u2(i), t.cast("double"))).otherwise(F.lit(1.0))
+        a = -F.ln(x(i)) * u1(i) * F.when(t > 0, F.pow(u1(i) * u2(i), t.cast("double"))).otherwise(F.lit(1.0))
         high = (F.least(a, F.lit(63.0)) * float(1 << 34)).cast("bigint")
-        return F.shiftleft(high, 24).bitwiseOR(F.col("term").bitwiseXOR(t).bitwiseAND(F.lit(_LOW - 1)))
+        return F.when(F.col(f"near{i}"), F.shiftleft(high, 24).bitwiseOR(F.col("term").bitwiseXOR(t).bitwiseAND(F.lit(_LOW - 1))))
 
-    drawn = with_t.select("block", "row", "k", "own", "other", *_OWN, *_OTHER, *[bits(i).alias(f"s{i}") for i in range(wide)])
+    got = with_t.select("block", "row", "k", "own", "other", *_OWN, *_OTHER, *[bits(i).alias(f"s{i}") for i in range(wide)])
     fact = lambda name, v, i: F.when(F.col("k") == FACTS, F.col(name) if name else F.lit(None)).when(F.col(v), F.col(f"s{i}"))
     at = lambda names, i: names[i] if i < len(names) else None
-    return drawn.select("block", "row", "k", *[fact(at(names, i), v, i).alias(f"{v}{i}") for v, names in (("own", _OWN), ("other", _OTHER)) for i in range(wide)])
+    return got.select("block", "row", "k", *[fact(at(names, i), v, i).alias(f"{v}{i}") for v, names in (("own", _OWN), ("other", _OTHER)) for i in range(wide)])
 
 
-#: A document's facts as numbers: the hash of its edited text in four parts, its id and its size.
-_OWN, _OTHER = ("sha0", "sha1", "sha2", "sha3"), ("doc_id", "n_chars")
+#: A document's facts as numbers: the hash of its edited text in four parts, its id, its size and the limit of its samples
+#: in their units, null for none.
+_OWN, _OTHER = ("sha0", "sha1", "sha2", "sha3"), ("doc_id", "n_chars", "certain")
 
 
 def blocks_of(docs: DataFrame) -> int:
@@ -147,6 +167,18 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
 
     A signature is an array of ``samples`` numbers, null for texts without words. All rows are kept: null texts count as
     empty, repeated rows have equal signatures, whole texts are used, and columns of other names play no part.
+    """
+    return _exact(lambda sure: _drawn(docs, samples, blocks, sure))
+
+
+def _exact(build: Callable[[float | None], DataFrame]) -> DataFrame:
+    """What ``build`` gives, saved: with limits, or without them if a sample of any text is not below its limit."""
+    got = saved(build(SURE))
+    return (got if got.filter("not settled").isEmpty() else saved(build(None))).drop("settled")
+
+
+def _drawn(docs: DataFrame, samples: int, blocks: int | None, sure: float | None) -> DataFrame:
+    """The rows of :func:`fingerprints`, and whether they are ``settled``; all are without ``sure``.
 
     Rows are (text, term, some samples) only between an explode and the hash aggregation that keeps the least of each sample;
     both are in the stage that read the block, so none of them is shuffled. The first row of a text also brings the text's
@@ -157,8 +189,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
     # the runs are a column of their own, in which parts that are used twice are worked out once
     whole = beside.select("block", "row", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.concat(head, gift), 256).alias("sha"), runs(head, tail, gift).alias("runs"))
     quarter = lambda i: F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint")
-    numbered = whole.select("block", "row", "doc_id", "n_chars", *[quarter(i).alias(c) for i, c in enumerate(_OWN)], "runs")
-    terms = numbered.select("block", "row", *_OWN, *_OTHER, F.posexplode_outer("runs").alias("pos", "run"))
+    # words of the head, which both versions have; a text without any has no limit
+    shared_words = F.aggregate("runs", F.lit(0), lambda n, r: n + F.length(r) - F.length(F.translate(r, HEAD, "")))
+    below = F.when(shared_words > 0, F.lit(sure) / shared_words) if sure else F.lit(None).cast("double")
+    numbered = whole.select("block", "row", "doc_id", "n_chars", *[quarter(i).alias(c) for i, c in enumerate(_OWN)], below.alias("below"), "runs")
+    numbered = numbered.withColumn("certain", F.floor(F.col("below") * float(1 << 34)).cast("bigint"))
+    terms = numbered.select("block", "row", *_OWN, *_OTHER, "below", F.posexplode_outer("runs").alias("pos", "run"))
     # a run is the word with HEAD so many times, then with TAIL, then with GIFT: the places of the first of each say how often
     place = lambda mark: F.instr("run", mark)
     first = F.when(place(HEAD) > 0, place(HEAD)).when(place(TAIL) > 0, place(TAIL)).otherwise(place(GIFT)) - 1
@@ -166,7 +202,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
     before = lambda at: F.floor((at - 1 - F.col("size")) / (F.col("size") + 2))
     every = F.floor((F.length("run") + 1) / (F.col("size") + 2))
     shared = placed.select(
-        "block", "row", *_OWN, *_OTHER, (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.xxhash64(F.substring("run", F.lit(1), F.col("size"))).alias("term"),
+        "block", "row", *_OWN, *_OTHER, "below", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), F.xxhash64(F.substring("run", F.lit(1), F.col("size"))).alias("term"),
         F.when(F.col("b") > 0, before(F.col("b"))).when(F.col("c") > 0, before(F.col("c"))).otherwise(every).alias("h"), F.when(F.col("c") > 0, before(F.col("c"))).otherwise(every).alias("n_own"), every.alias("n"),
     )
     counted = shared.select("*", (F.col("h") + F.col("n") - F.col("n_own")).alias("n_other")).drop("h")
@@ -177,15 +213,21 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
     each = each.when(other == 0, F.array(weight(own, True, False))).when(own == 0, F.array(weight(other, False, True))).otherwise(F.array(weight(own, True, False), weight(other, False, True)))
     wide = max(len(_OWN), min(AT_ONCE, samples))
     groups = F.sequence(F.when(F.col("first"), F.lit(FACTS)).otherwise(F.lit(0)), F.lit(-(-samples // wide) - 1))
-    weighed = counted.select("*", F.inline(each)).select("block", "row", "term", "own", "other", *_OWN, *_OTHER, F.ln(F.greatest("w", F.lit(1)).cast("double")).alias("ln_s"), F.explode(groups).alias("k"))
+    s = F.greatest("w", F.lit(1)).cast("double")
+    slack = F.coalesce(F.col("below") * s * (1 + 1e-9), F.lit(math.inf))
+    weighed = counted.select("*", F.inline(each)).select("block", "row", "term", "own", "other", *_OWN, *_OTHER, F.ln(s).alias("ln_s"), slack.alias("below"), F.explode(groups).alias("k"))
     names = [f"{v}{i}" for v in ("own", "other") for i in range(wide)]
     least = samples_of(weighed, wide).groupBy("block", "row", "k").agg(*[F.min(c).alias(c) for c in names])
     part = lambda v: F.array(*[F.col(f"{v}{i}") for i in range(wide)]).alias(v)
     packed = least.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct("k", part("own"), part("other")))).alias("s"))
-    joined = lambda v: F.slice(F.flatten(F.col(f"s.{v}")), wide + 1, samples).alias(v)
+    joined_of = lambda v: F.slice(F.flatten(F.col(f"s.{v}")), wide + 1, samples)
+    joined = lambda v: joined_of(v).alias(v)
     sha = F.concat(*[F.lower(F.lpad(F.hex(F.col("s")[0]["own"][i]), 16, "0")) for i in range(4)])
-    facts = [F.col("s")[0]["other"][i].alias(c) for i, c in enumerate(_OTHER)]
-    return packed.select("block", "row", *facts, sha.alias("edited_sha256"), joined("own"), joined("other"))
+    facts = [F.col("s")[0]["other"][i].alias(c) for i, c in enumerate(_OTHER[:2])]
+    certain = F.col("s")[0]["other"][2]
+    under = lambda v: F.forall(joined_of(v), lambda x: F.coalesce(F.shiftright(x, 24) < certain, F.lit(False)))
+    settled = certain.isNull() | ((F.size("s") == -(-samples // wide) + 1) & under("own") & under("other"))
+    return packed.select("block", "row", *facts, sha.alias("edited_sha256"), joined("own"), joined("other"), settled.alias("settled"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -205,7 +247,7 @@ def with_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     blocks look for the first rows of others.
     """
     beside = F.lead("own").over(Window.partitionBy("block").orderBy("row"))
-    got = saved(fingerprints(docs, samples).withColumn("next_own", beside).withColumn("near_next", likeness(F.col("own"), F.col("next_own"))).withColumn("last", F.col("next_own").isNull()).drop("next_own"))
+    got = _exact(lambda sure: _drawn(docs, samples, None, sure).withColumn("next_own", beside).withColumn("near_next", likeness(F.col("own"), F.col("next_own"))).withColumn("last", F.col("next_own").isNull()).drop("next_own"))
     first = got.filter("row = 1").select("block", F.col("own").alias("next_own"))
     blocks = [r.block for r in first.select("block").orderBy("block").collect()]  # a number for each block
     after = docs.sparkSession.createDataFrame([(b, blocks[(i + 1) % len(blocks)]) for i, b in enumerate(blocks)], "block int, next_block int")
