@@ -8,7 +8,7 @@ weights. A sample is kept as 64 bits: 40 of a, so that a minimum finds it, and 2
 
 A text is cut at the words both versions of it share; runs of equal words come from a sorted array, so no row of a word is
 shuffled. Only whole rows are, once, to put documents beside their successors. A word that both versions have equally often
-is one row, and each row carries several samples, so what a term costs is mostly the arithmetic of its samples.
+is one row.
 
 Few terms are the least of a sample, and a bound on a tells most others without a logarithm: c = -ln x >= 1 - x. The least a
 of n words is exponentially distributed with rate n, so a term with a bound above SURE / n is as good as never the least; it
@@ -30,8 +30,6 @@ from pyspark.sql.window import Window
 from pagemill.llm.common import saved, sized
 
 SAMPLES = 64
-#: Samples that are worked out in one row; with more the generated code is too long to be compiled to machine code.
-AT_ONCE = 4
 #: The chance that a text has a sample that its limit leaves open is below 128 e^-SURE, 1e-10.
 SURE = 28.0
 #: Documents of a block, and the most blocks; blocks beyond that are larger, and their sort spills.
@@ -114,46 +112,39 @@ def _uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
 
 
-#: The number of the group of samples in whose place a document's own facts travel.
-FACTS = -1
+#: A document's facts as numbers: the hash of its edited text in four parts, its id, its size and the limit of its samples
+#: in their units, null for none. They travel in place of samples, fact i as number i - FACTS.
+_OWN, _OTHER = ("sha0", "sha1", "sha2", "sha3"), ("doc_id", "n_chars", "certain")
+FACTS = len(_OWN)
 
 
-def samples_of(rows: DataFrame, wide: int) -> DataFrame:
-    """``rows`` (block, row, term, own, other, ln_s, below, k, facts) with ``wide`` samples from k * wide on, as 64 bits each:
-    of terms of the text in own0, own1, ..., of the edited text in other0, other1, ... Samples are null where a is certain to
-    be ``below`` / S or more, and rows of which all are go.
+def samples_of(rows: DataFrame) -> DataFrame:
+    """``rows`` (block, row, term, in_own, in_other, ln_s, below, k, facts) with sample k as 64 bits: in own of terms of the
+    text, in other of terms of the edited text. Rows of which a is certain to be ``below`` / S or more are left out.
 
     r = -ln u1 - ln u2 is Gamma(2, 1), and b = ln u2 / (ln u1 + ln u2) is uniform and independent of it. With these
     ln S / r + b = (ln S - ln u2) / r and a = c u1 (u1 u2)^t, and t = 0 at weight 1: most terms need c and u1 only. As
     (u1 u2)^t >= u2 / S and c = -ln x >= 1 - x, a is at least (1 - x) u1 u2 / S, and (1 - x) u1 at weight 1.
     """
-    number = lambda i: F.col("k") * wide + i
-    each = range(wide)
-    u1, u2, x = (lambda i: F.col(f"u{i}")), (lambda i: _uniform(F.xxhash64("term", number(i), F.lit(1)), 0)), (lambda i: F.col(f"x{i}"))
-    # the partition's number makes no difference, but the optimiser does not write hashes out again in the filter then
-    hashed = rows.select("*", *[F.xxhash64("term", number(i)).bitwiseXOR(F.spark_partition_id().bitwiseAND(F.lit(0)).cast("bigint")).alias(f"h{i}") for i in each])
-    drawn = hashed.select(*rows.columns, *[_uniform(F.col(f"h{i}"), 0).alias(f"u{i}") for i in each], *[(_uniform(F.col(f"h{i}"), 21) * _uniform(F.col(f"h{i}"), 42)).alias(f"x{i}") for i in each])
-    bound = lambda i: (F.lit(1.0) - x(i)) * u1(i)
-    near = lambda i: F.when(F.col("ln_s") > 0, bound(i) * u2(i)).otherwise(bound(i)) < F.col("below")
-    some = drawn.select("*", *[near(i).alias(f"near{i}") for i in each]).filter(reduce(or_, [F.col(f"near{i}") for i in each], F.col("k") == FACTS))
-    steps = lambda i: F.when((F.col("ln_s") > 0) & F.col(f"near{i}"), F.floor((F.col("ln_s") - F.ln(u2(i))) / -F.ln(u1(i) * u2(i)))).otherwise(F.lit(0).cast("bigint"))
-    with_t = some.select("*", *[steps(i).alias(f"t{i}") for i in each])
-
-    def bits(i: int) -> Column:
-        t = F.col(f"t{i}")
-        a = -F.ln(x(i)) * u1(i) * F.when(t > 0, F.pow(u1(i) * u2(i), t.cast("double"))).otherwise(F.lit(1.0))
-        high = (F.least(a, F.lit(63.0)) * float(1 << 34)).cast("bigint")
-        return F.when(F.col(f"near{i}"), F.shiftleft(high, 24).bitwiseOR(F.col("term").bitwiseXOR(t).bitwiseAND(F.lit(_LOW - 1))))
-
-    got = with_t.select("block", "row", "k", "own", "other", *_OWN, *_OTHER, *[bits(i).alias(f"s{i}") for i in range(wide)])
-    fact = lambda name, v, i: F.when(F.col("k") == FACTS, F.col(name) if name else F.lit(None)).when(F.col(v), F.col(f"s{i}"))
-    at = lambda names, i: names[i] if i < len(names) else None
-    return got.select("block", "row", "k", *[fact(at(names, i), v, i).alias(f"{v}{i}") for v, names in (("own", _OWN), ("other", _OTHER)) for i in range(wide)])
-
-
-#: A document's facts as numbers: the hash of its edited text in four parts, its id, its size and the limit of its samples
-#: in their units, null for none.
-_OWN, _OTHER = ("sha0", "sha1", "sha2", "sha3"), ("doc_id", "n_chars", "certain")
+    # the partition's number makes no difference, but the optimiser does not write the hash out again in the filter then
+    once = F.spark_partition_id().bitwiseAND(F.lit(0)).cast("bigint")
+    h, heavy, is_fact = F.col("h"), F.col("ln_s") > 0, F.col("k") < 0
+    u1, u2, x = _uniform(h, 0), _uniform(F.xxhash64("term", "k", F.lit(1)), 0), _uniform(h, 21) * _uniform(h, 42)
+    bound = (F.lit(1.0) - x) * u1
+    some = rows.withColumn("h", F.xxhash64("term", "k").bitwiseXOR(once)).filter(is_fact | (F.when(heavy, bound * u2).otherwise(bound) < F.col("below")))
+    t = F.when(heavy, F.floor((F.col("ln_s") - F.ln(u2)) / -F.ln(u1 * u2))).otherwise(F.lit(0).cast("bigint"))
+    with_t = some.withColumn("t", t)
+    a = -F.ln(x) * u1 * F.when(F.col("t") > 0, F.pow(u1 * u2, F.col("t").cast("double"))).otherwise(F.lit(1.0))
+    high = (F.least(a, F.lit(63.0)) * float(1 << 34)).cast("bigint")
+    got = with_t.withColumn("s", F.shiftleft(high, 24).bitwiseOR(F.col("term").bitwiseXOR(F.col("t")).bitwiseAND(F.lit(_LOW - 1))))
+
+    def of(version: str, facts: tuple[str, ...]) -> Column:
+        out = F.when(F.col(f"in_{version}") & ~is_fact, F.col("s"))
+        for i, c in enumerate(facts):
+            out = out.when(F.col("k") == i - FACTS, F.col(c))
+        return out.alias(version)
+
+    return got.select("block", "row", "k", of("own", _OWN), of("other", _OTHER))
 
 
 def blocks_of(docs: DataFrame) -> int:
@@ -207,27 +198,22 @@ def _drawn(docs: DataFrame, samples: int, blocks: int | None, sure: float | None
     )
     counted = shared.select("*", (F.col("h") + F.col("n") - F.col("n_own")).alias("n_other")).drop("h")
     # a row for each different weight: of both versions, of the text alone, of the edited text alone
-    weight = lambda n, own, other: F.struct(n.alias("w"), F.lit(own).alias("own"), F.lit(other).alias("other"))
+    weight = lambda n, own, other: F.struct(n.alias("w"), F.lit(own).alias("in_own"), F.lit(other).alias("in_other"))
     own, other = F.col("n_own"), F.col("n_other")
     each = F.when(F.col("n").isNull(), F.array(weight(F.lit(0).cast("bigint"), False, False))).when(own == other, F.array(weight(own, True, True)))
     each = each.when(other == 0, F.array(weight(own, True, False))).when(own == 0, F.array(weight(other, False, True))).otherwise(F.array(weight(own, True, False), weight(other, False, True)))
-    wide = max(len(_OWN), min(AT_ONCE, samples))
-    groups = F.sequence(F.when(F.col("first"), F.lit(FACTS)).otherwise(F.lit(0)), F.lit(-(-samples // wide) - 1))
+    numbers = F.sequence(F.when(F.col("first"), F.lit(-FACTS)).otherwise(F.lit(0)), F.lit(samples - 1))
     s = F.greatest("w", F.lit(1)).cast("double")
     slack = F.coalesce(F.col("below") * s * (1 + 1e-9), F.lit(math.inf))
-    weighed = counted.select("*", F.inline(each)).select("block", "row", "term", "own", "other", *_OWN, *_OTHER, F.ln(s).alias("ln_s"), slack.alias("below"), F.explode(groups).alias("k"))
-    names = [f"{v}{i}" for v in ("own", "other") for i in range(wide)]
-    least = samples_of(weighed, wide).groupBy("block", "row", "k").agg(*[F.min(c).alias(c) for c in names])
-    part = lambda v: F.array(*[F.col(f"{v}{i}") for i in range(wide)]).alias(v)
-    packed = least.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct("k", part("own"), part("other")))).alias("s"))
-    joined_of = lambda v: F.slice(F.flatten(F.col(f"s.{v}")), wide + 1, samples)
-    joined = lambda v: joined_of(v).alias(v)
-    sha = F.concat(*[F.lower(F.lpad(F.hex(F.col("s")[0]["own"][i]), 16, "0")) for i in range(4)])
-    facts = [F.col("s")[0]["other"][i].alias(c) for i, c in enumerate(_OTHER[:2])]
-    certain = F.col("s")[0]["other"][2]
-    under = lambda v: F.forall(joined_of(v), lambda x: F.coalesce(F.shiftright(x, 24) < certain, F.lit(False)))
-    settled = certain.isNull() | ((F.size("s") == -(-samples // wide) + 1) & under("own") & under("other"))
-    return packed.select("block", "row", *facts, sha.alias("edited_sha256"), joined("own"), joined("other"), settled.alias("settled"))
+    weighed = counted.select("*", F.inline(each)).select("block", "row", "term", "in_own", "in_other", *_OWN, *_OTHER, F.ln(s).alias("ln_s"), slack.alias("below"), F.explode(numbers).alias("k"))
+    least = samples_of(weighed).groupBy("block", "row", "k").agg(F.min("own").alias("own"), F.min("other").alias("other"))
+    packed = least.groupBy("block", "row").agg(F.array_sort(F.collect_list(F.struct("k", "own", "other"))).alias("s"))
+    drawn = lambda v: F.slice(F.col(f"s.{v}"), FACTS + 1, samples)
+    sha = F.concat(*[F.lower(F.lpad(F.hex(F.col("s")[i]["own"]), 16, "0")) for i in range(FACTS)])
+    doc_id, n_chars, certain = (F.col("s")[i]["other"] for i in range(len(_OTHER)))
+    under = lambda v: F.forall(drawn(v), lambda x: F.coalesce(F.shiftright(x, 24) < certain, F.lit(False)))
+    settled = certain.isNull() | ((F.size("s") == samples + FACTS) & under("own") & under("other"))
+    return packed.select("block", "row", doc_id.alias("doc_id"), n_chars.alias("n_chars"), sha.alias("edited_sha256"), drawn("own").alias("own"), drawn("other").alias("other"), settled.alias("settled"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -460,3 +460,19 @@ def test_edited_texts_and_likeness_in_blocks(spark):
         if a and b:
             errors.append(np.mean([x == y for x, y in zip(one[i].own, one[i].other)]) - sum((a & b).values()) / sum((a | b).values()))
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
+
+
+def test_cws_limits_leave_out_only_what_is_never_least(spark, monkeypatch):
+    """Limits leave out most rows and change no sample; where a limit leaves a sample open, all are worked out without any."""
+    texts = [*some_texts(5, 60, 200, 150), None, "", "a", "b " * 3000, "one two", " \n"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = lambda df: {r.doc_id: (r.own, r.other, r.edited_sha256, r.n_chars) for r in df.collect()}
+    plain = rows(cws._drawn(frame, 24, 2, None))
+    limited = cws._drawn(frame, 24, 2, cws.SURE)
+    assert limited.filter("not settled").isEmpty() and rows(limited) == plain and len(plain) == len(texts)
+    assert not cws._drawn(frame, 24, 2, 0.5).filter("not settled").isEmpty()
+    monkeypatch.setattr(cws, "SURE", 0.5)
+    assert rows(cws.fingerprints(frame, 24, 2)) == plain
+    terms = spark.range(400).selectExpr("0 block", "1 row", "xxhash64(id) term", "true in_own", "true in_other", "0L sha0", "0L sha1", "0L sha2", "0L sha3", "1L doc_id", "1L n_chars", "1L certain")
+    each = terms.selectExpr("*", "0D ln_s", "28D / 400 below", "explode(sequence(0, 23)) k")
+    assert cws.samples_of(each).count() < 400 * 24 / 5
