@@ -476,3 +476,14 @@ def test_cws_limits_leave_out_only_what_is_never_least(spark, monkeypatch):
     terms = spark.range(400).selectExpr("0 block", "1 row", "xxhash64(id) term", "true in_own", "true in_other", "0L sha0", "0L sha1", "0L sha2", "0L sha3", "1L doc_id", "1L n_chars", "1L certain")
     each = terms.selectExpr("*", "0D ln_s", "28D / 400 below", "explode(sequence(0, 23)) k")
     assert cws.samples_of(each).count() < 400 * 24 / 5
+
+
+def test_near_dedup_takes_links_of_the_covering_code(spark, monkeypatch):
+    """Without any sampled anchors, texts within three bits are still found, and settled by their shingles."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(300)), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(similar, "families", lambda distinct, n: distinct.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
